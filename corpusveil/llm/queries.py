@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
+from . import bpe, exact_dedup, mixing, quality, simhash
 from .common import documents
 
 
@@ -21,7 +21,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("component_size")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(bpe.code(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op10_byte_bpe": op10_byte_bpe,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
