@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm, mixing, quality, simhash
+from . import bpe, exact_dedup, lm, mixing, pii, quality, simhash
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.findings(documents(spark, sf_dir)))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("component_size")
 
@@ -36,6 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_byte_bpe": op10_byte_bpe,
