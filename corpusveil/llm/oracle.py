@@ -52,4 +52,25 @@ g AS (SELECT *, count(*) OVER (PARTITION BY t) AS group_size, first_value(doc_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
 
-ORACLE_SQL = {"op3_mixing": OP3, "op4_quality_rules": OP4, "op6_exact_dedup": OP6}
+# The answer of the next id differs from the own one or is the same text; both are covered: the
+# prefix then swallows the last turn too.
+OP7 = """
+WITH c AS (SELECT conv_id, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
+l AS (SELECT conv_id, max(i) AS at FROM n WHERE role = 'assistant' GROUP BY conv_id),
+a AS (SELECT n.conv_id, n.text FROM n JOIN l ON n.conv_id = l.conv_id AND n.i = l.at),
+o AS (SELECT conv_id, first(text ORDER BY i) AS text FROM n WHERE role = 'assistant' GROUP BY conv_id),
+p AS (SELECT l.conv_id, l.at, a.text AS mine, coalesce(b.text, o.text) AS theirs FROM l JOIN a USING (conv_id) JOIN o USING (conv_id) LEFT JOIN a b ON b.conv_id = l.conv_id + 1),
+t AS (SELECT p.conv_id, p.mine, p.theirs, p.mine = p.theirs AS same,
+             coalesce(string_agg('<|im_start|>' || n.role || chr(10) || n.text || '<|im_end|>' || chr(10), '' ORDER BY n.i) FILTER (WHERE n.i < p.at OR p.mine = p.theirs), '') AS prompt,
+             count(*) FILTER (WHERE n.i < p.at OR p.mine = p.theirs) AS prompt_turns
+      FROM p JOIN n ON n.conv_id = p.conv_id AND n.i <= p.at GROUP BY ALL)
+SELECT conv_id, prompt_turns, sha256(prompt) AS prompt_sha256,
+       sha256(CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || mine || '<|im_end|>' || chr(10) END) AS chosen_sha256,
+       CASE WHEN same THEN '' ELSE '22:' || (length(mine) + 32) END AS chosen_mask,
+       sha256(CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || theirs || '<|im_end|>' || chr(10) END) AS rejected_sha256,
+       CASE WHEN same THEN '' ELSE '22:' || (length(theirs) + 32) END AS rejected_mask
+FROM t
+"""
+
+ORACLE_SQL = {"op7_preferences": OP7, "op3_mixing": OP3, "op4_quality_rules": OP4, "op6_exact_dedup": OP6}

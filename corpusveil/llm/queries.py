@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm, mixing, passages, pii, quality, simhash
+from . import bpe, chat, exact_dedup, lm, mixing, passages, pii, quality, simhash
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("component_size")
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.preferences(*chat.off_topic_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(passages.passages(documents(spark, sf_dir)))
 
@@ -46,6 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op7_preferences": op7_preferences,
     "op8_passages": op8_passages,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_byte_bpe": op10_byte_bpe,
