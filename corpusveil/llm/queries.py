@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, lm, mixing, passages, pii, quality, simhash
+from . import bpe, chat, exact_dedup, licences, lm, mixing, passages, pii, quality, simhash
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(documents(spark, sf_dir)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
@@ -56,5 +60,6 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_licences": op5_licences,
     "op6_exact_dedup": op6_exact_dedup,
 }
