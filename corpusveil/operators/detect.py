@@ -127,7 +127,7 @@ def finding_type(entity: Column) -> Column:
 
 def detect(text: Column, cfg: SanitizeConfig = SanitizeConfig()) -> Column:
     """Findings of one text, by start: array<struct<entity_type, recognizer, start, end,
-    original_text, score>>. Blank text has none; null text gives null."""
+    original_text, score>>. Null and blank texts have none."""
     wanted = [r for r in RECOGNIZERS if r.entity in entities_of(cfg.level)]
 
     def run(cased: Column) -> Column:
