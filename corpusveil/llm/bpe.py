@@ -13,15 +13,14 @@ vocabulary raises KeyError naming the id. Rows are coded one by one, so ties, re
 empty tables need no rule; other columns are not read.
 
 Scale: one pass, no shuffle. The vocabulary is broadcast: its size is that of a fixed file
-(under 2 MB). Pieces already merged are remembered per worker, in at most CACHE pieces of at
-most CACHED_CHARS characters, and the store starts afresh when full.
+(under 2 MB). Pieces already merged are remembered per worker, in two stores of at most CACHE
+pieces of at most CACHED_CHARS characters.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -33,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CACHE, CACHED_CHARS = 600_000, 64
+CACHE, CACHED_CHARS = 250_000, 64
 #: Words of the bitmap hold 256 ranks.
 SHIFT, MASK = 8, 255
+SINGLES = tuple(bytes([c]) for c in range(256))
 ROWS_OUT = 256
 
 #: The same cuts for texts that are ASCII only, where \p{L} is A-Za-z and \p{N} is 0-9.
@@ -50,46 +50,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
+        self.ids = {k: v.to_bytes(4, "little") for k, v in ranks.items()}
         self.tokens = {v: k for k, v in ranks.items()}
         self.cut = regex.compile(pattern).findall
         self.cut_ascii = ascii_cut(pattern)
+        #: Merged pieces by age: the old store goes when the new one is full, so that pieces in
+        #: use move on and rare ones leave.
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         #: The queue's parts, empty again after every piece.
         self.buckets: dict[int, list[int]] = {}
         self.words = [0] * ((max(ranks.values(), default=0) >> SHIFT) + 1)
 
     def merge(self, piece: bytes) -> bytes:
         """The ids of one piece."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return whole.to_bytes(4, "little")
+        ranks, ids = self.ranks, self.ids
+        if (whole := ids.get(piece)) is not None:
+            return whole
         n, get = len(piece), ranks.get
         # The queue: positions by rank, filled ranks by word, filled words. One lookup a step;
         # its methods are written out here because calls would double the cost of a merge.
         buckets, words, top = self.buckets, self.words, 0
-        part = [piece[i : i + 1] for i in range(n)]
+        part = [SINGLES[c] for c in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        rank_at = [get(a + b, -1) for a, b in zip(part, part[1:], strict=False)]
         rank_at.append(-1)
-        for i, rank in enumerate(rank_at):
+        i = 0
+        for rank in rank_at:
             if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(i)  # rising positions are a heap
                 else:
                     buckets[rank] = [i]
-                    words[rank >> SHIFT] |= 1 << (rank & MASK)
-                    top |= 1 << (rank >> SHIFT)
+                    word = rank >> SHIFT
+                    words[word] |= 1 << (rank & MASK)
+                    top |= 1 << word
+            i += 1
         while top:
             word = (top & -top).bit_length() - 1
             held = words[word]
-            rank = (word << SHIFT) + (held & -held).bit_length() - 1
+            low = held & -held
+            rank = (word << SHIFT) + low.bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 i = heappop(bucket)
             else:
                 i = bucket[0]
                 del buckets[rank]
-                words[word] = held = held & (held - 1)
+                words[word] = held = held ^ low
                 if not held:
                     top &= top - 1
             if rank_at[i] != rank:
@@ -98,43 +106,52 @@ class Coder:
             merged = part[i] = part[i] + part[j]
             rank_at[j] = -1
             j = after[i] = after[j]
-            changed = ()
             if j < n:
                 before[j] = i
                 rank_at[i] = rank = get(merged + part[j], -1)
                 if rank >= 0:
-                    changed = ((rank, i),)
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> SHIFT
+                        words[word] |= 1 << (rank & MASK)
+                        top |= 1 << word
             else:
                 rank_at[i] = -1
             j = before[i]
             if j >= 0:
                 rank_at[j] = rank = get(part[j] + merged, -1)
                 if rank >= 0:
-                    changed += ((rank, j),)
-            for rank, j in changed:
-                if rank in buckets:
-                    heappush(buckets[rank], j)
-                else:
-                    buckets[rank] = [j]
-                    words[rank >> SHIFT] |= 1 << (rank & MASK)
-                    top |= 1 << (rank >> SHIFT)
-        out, i = array("I"), 0
+                    if rank in buckets:
+                        heappush(buckets[rank], j)
+                    else:
+                        buckets[rank] = [j]
+                        word = rank >> SHIFT
+                        words[word] |= 1 << (rank & MASK)
+                        top |= 1 << word
+        out, i = [], 0
         while i < n:
-            out.append(ranks[part[i]])
+            out.append(ids[part[i]])
             i = after[i]
-        return out.tobytes()
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
+        pieces = (self.cut_ascii if text.isascii() else self.cut)(text)
         seen, out = self.seen, []
-        for piece in (self.cut_ascii if text.isascii() else self.cut)(text):
-            ids = seen.get(piece)
+        add, get = out.append, seen.get
+        for piece in pieces:
+            ids = get(piece)
             if ids is None:
-                ids = self.merge(piece.encode())
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = self.merge(piece.encode())
                 if len(piece) <= CACHED_CHARS:
                     if len(seen) >= CACHE:
-                        seen.clear()
+                        self.old, self.seen = seen, {}
+                        seen, get = self.seen, self.seen.get
                     seen[piece] = ids
-            out.append(ids)
+            add(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
