@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .config import SanitizeConfig
 from .functions import checksum, expr, fixed
-from .operators import detect, limiter, merge, redact, report, spans, visual
-from .plans.engine import Engine
+from .operators import access, detect, limiter, merge, redact, report, spans, visual
+from .plans.engine import Engine, register_views
 from .sources import formats, html, parsers, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,3 +636,50 @@ LIMIT_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t,
 def q_rate_limit(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     return limiter.rate_limited(events, "user_id", "ts", "event_id", 3, 86400).select("user_id", "event_id", "accepted", "remaining")
+
+
+HEADER_SQL = LIMIT_SQL.rsplit("SELECT", 1)[0] + """SELECT f.user_id, f.event_id,
+    CAST(CASE WHEN f.accepted THEN floor((e.t + 86400000000) / 1e6) ELSE floor((f.kept[1] + 86400000000) / 1e6) END AS BIGINT) AS reset_s,
+    CAST(CASE WHEN f.accepted THEN 0 ELSE floor((f.kept[1] + 86400000000 - e.t) / 1e6) + 1 END AS BIGINT) AS retry_after_s
+  FROM f JOIN e ON e.user_id = f.user_id AND e.event_id = f.event_id"""
+
+
+@query(HEADER_SQL)
+def q_rate_headers(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    made = limiter.rate_limited(events, "user_id", "ts", "event_id", 3, 86400)
+    return made.select("user_id", "event_id", "reset_s", F.coalesce("retry_after_s", F.lit(0).cast("long")).alias("retry_after_s"))
+
+
+# --- gates, errors, subtotals, views -------------------------------------------------------
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 AND c_custkey < 600 THEN 200 ELSE 401 END AS status_code FROM customer")
+def q_api_keys(spark, sf_dir):
+    made = table(spark, sf_dir, "customer")
+    sent = made.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("key"), F.col("c_custkey").cast("string"))).alias("api_key"))
+    known = made.filter("c_custkey < 600").select(F.concat(F.lit("key"), F.col("c_custkey").cast("string")).alias("api_key"))
+    return access.authorised(sent, known).select("k", "status_code")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 422 ELSE 500 END AS status_code, CASE WHEN p_partkey % 3 = 0 THEN 'File is corrupted or unreadable' ELSE 'Internal processing error' END AS single, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Internal processing error' END AS in_batch FROM part")
+def q_error_response(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "ValueError").otherwise("KeyError")
+    one, many = access.error_response(kind, F.col("p_name")), access.error_response(kind, F.col("p_name"), batch=True)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), one.status_code.alias("status_code"), one.detail.alias("single"), many.detail.alias("in_batch"))
+
+
+@query(
+    CORPUS
+    + EXPECTED
+    + ", r AS (SELECT k % 4 AS grp, entity_type, count(*) AS n FROM e GROUP BY ROLLUP (k % 4, entity_type)) SELECT coalesce(CAST(grp AS VARCHAR), 'all') AS grp, coalesce(entity_type, 'all') AS entity_type, n FROM r"
+)
+def q_findings_rollup(spark, sf_dir):
+    made = report.rollup(_detected(spark, sf_dir).withColumn("grp", F.col("k") % 4), "grp")
+    return made.select(F.coalesce(F.col("grp").cast("string"), F.lit("all")).alias("grp"), F.coalesce("entity_type", F.lit("all")).alias("entity_type"), "n")
+
+
+@query(CORPUS + EXPECTED + " SELECT entity_type, count(*) AS findings, count(DISTINCT k) AS docs FROM e GROUP BY entity_type")
+def q_sql_views(spark, sf_dir):
+    register_views(corpus(spark, sf_dir), key="k")
+    return spark.sql("SELECT s.entity_type, sum(s.n) AS findings, count(DISTINCT f.k) AS docs FROM pii_summary s JOIN (SELECT DISTINCT k, entity_type FROM pii_findings) f ON s.k = f.k AND s.entity_type = f.entity_type GROUP BY s.entity_type")

@@ -11,6 +11,11 @@ def summary(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.groupBy(key, "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rollup(findings: DataFrame, *keys: str) -> DataFrame:
+    """Counts by the keys and entity type with all subtotals; null stands for all."""
+    return findings.rollup(*keys, "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def count_type(findings: Column, entity_type: str) -> Column:
     return F.size(F.filter(findings, lambda f: f.entity_type == entity_type)).cast("long")
 

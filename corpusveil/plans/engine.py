@@ -75,6 +75,15 @@ class Engine:
         return results.select("doc_id", F.to_json(F.struct("filename", "status", "error", F.base64("sanitized").alias("file"))).alias("response"))
 
 
+def register_views(docs: DataFrame, cfg: SanitizeConfig = SanitizeConfig(), key: str = "doc_id") -> None:
+    """Temporary views for SQL users: pii_findings, pii_summary, pii_sanitized."""
+    engine = Engine(cfg)
+    found = detect.findings_table(docs, cfg, key=key)
+    found.createOrReplaceTempView("pii_findings")
+    report.summary(found, key).createOrReplaceTempView("pii_summary")
+    engine.sanitize(docs, key=key).select(key, "sanitized").createOrReplaceTempView("pii_sanitized")
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """SQL forms of the expressions as temporary functions, all of them native."""
     spark.sql("DROP TEMPORARY FUNCTION IF EXISTS mask_text")
