@@ -3,7 +3,8 @@
 Each round rewires every node to the smallest node it sees; the number of rounds grows with
 the logarithm of the longest path, and the edges never outgrow what came in. Each round is a
 table in the shared folder, so a lost executor costs one round at most. Hot nodes are
-combined map-side for their minimum and split by AQE in the join.
+combined map-side for their minimum; the minima are a table too, since AQE splits a hot node
+only in a join of two plain exchanges.
 
 Defined cases: self-links and repeated edges are harmless; rows with a null end are ignored;
 no edges give an empty result.
@@ -23,12 +24,12 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both(edges)
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = durable(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = durable(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -43,4 +44,5 @@ def components(edges: DataFrame) -> DataFrame:
         if (sums.n, sums.x) == mark or not sums.n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (sums.n, sums.x)
-        now = durable(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        large = durable(_large_star(now).distinct(), "stars")
+        now = durable(_small_star(large).distinct(), "stars")
