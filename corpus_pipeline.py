@@ -27,7 +27,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order."""
-    return mixing.curriculum_order(docs).select(*docs.columns)
+    return mixing.curriculum_order(docs, position_col="__position").drop("__position")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,8 +69,9 @@ def groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash, t
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, in their own columns; repeated winning rows stay once."""
-    kept = groups(docs, text_col=text_col, id_col=id_col).filter("kept").select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(without_space(text_of(text_col)), 256)
-    once = docs.withColumn("_sha_of", sha).join(kept, (F.col(id_col).eqNullSafe(F.col("_keep"))) & (F.col("_sha_of") == F.col("_sha")), "left_semi")
-    return once.drop("_sha_of")
+    """The documents that stay, in their own columns; repeated winning rows stay once. The join
+    and the check for repeated rows share one exchange by id and text hash."""
+    key = lambda i, sha: F.concat_ws("/", F.coalesce(i.cast("string"), F.lit("null")), sha)
+    kept = groups(docs, text_col=text_col, id_col=id_col).filter("kept").select(key(F.col("keep_id"), F.col("text_sha256")).alias("__kept_key")).distinct()
+    keyed = docs.withColumn("__kept_key", key(F.col(id_col), F.sha2(without_space(text_of(text_col)), 256)))
+    return keyed.join(kept, "__kept_key", "left_semi").dropDuplicates(["__kept_key"]).drop("__kept_key")

@@ -17,8 +17,7 @@ a document at most.
 
 Defined cases: a null or blank text has size 0 and takes no words; a null source is a source
 of its own; null or repeated ids order as the empty string, or among themselves by size; an
-empty table gives an empty result. Other input columns are carried by `schedule` only when
-asked for by `keep`.
+empty table gives an empty result. `mix` reads no other columns, `curriculum_order` keeps all.
 
 Scale: running sums are two-level. Documents fall into 16**digits buckets per source by the
 first hex digits of the MD5; bucket sums are combined map-side and prefix-summed over at most
@@ -89,10 +88,8 @@ def invert(share: Column, knots: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, walk, lambda a: a.at)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, curriculum: Sequence[Sequence[float]] = CURRICULUM, digits: int = 3, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document, range-sorted by its first position (documents that the mix leaves
-    out come last): doc_id, source, size, source_size, target, positions (array<double>, one
-    training position per copy taken), taken, and the columns of `keep`."""
+def _placed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, curriculum: Sequence[Sequence[float]] = CURRICULUM, digits: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns of `mix` in no order, and those of `keep` under the prefix _keep_."""
     sized = sizes(docs, digits, keep)
     narrow = durable(sized, "mix-sizes") if not keep else sized
     key = ["_sn", "_sv", "_bucket"]
@@ -106,17 +103,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     middle = lambda e: F.col("_offset") + F.col("_in") + e * F.col("source_size") + F.col("size") / 2
     epochs = F.filter(F.array(*[F.lit(e).cast("long") for e in range(max_repeats)]), lambda e: (F.col("size") > 0) & (middle(e) <= F.col("target")))
     at = F.transform(epochs, lambda e: invert(middle(e) / F.col("target"), F.col("_knots")))
-    out = placed.withColumn("positions", at).select(
-        "doc_id", "source", "size", "source_size", "target", "positions", (F.size("positions") * F.col("size")).cast("long").alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep]
-    )
+    return placed.withColumn("positions", at).select("doc_id", "source", "size", "source_size", "target", "positions", (F.size("positions") * F.col("size")).cast("long").alias("taken"), *[f"_keep_{c}" for c in keep])
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document, range-sorted by its first position (documents that the mix leaves
+    out come last): doc_id, source, size, source_size, target, positions (array<double>, one
+    training position per copy taken), taken. options: weights, max_repeats, curriculum, digits."""
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
-    return out.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
+    return _placed(docs, **options).repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
 
 
 def curriculum_order(docs: DataFrame, position_col: str = "position", **options) -> DataFrame:
     """The training order itself: the documents' own columns plus a position, one row per copy
     taken, range-sorted by position. A column already named like the position is replaced."""
     names = [c for c in docs.columns if c != position_col]
-    mixed = mix(docs, keep=[c for c in names if c not in ("doc_id", "source")], **options)
-    copies = mixed.select(*names, F.explode("positions").alias(position_col))
+    copies = _placed(docs, keep=names, **options).select(*[F.col(f"_keep_{c}").alias(c) for c in names], F.explode("positions").alias(position_col))
     return copies.repartitionByRange(F.col(position_col), F.col("doc_id")).sortWithinPartitions(position_col, "doc_id")

@@ -183,7 +183,9 @@ def test_mixing(spark):
     first = [min(r.positions, default=2.0) for r in got]
     assert first == sorted(first) and all(0 <= p <= 1 for r in got for p in r.positions)
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
-    copies = mixing.curriculum_order(docs.select("doc_id", "text", "source")).collect()
+    ordered = mixing.curriculum_order(docs)
+    copies = ordered.collect()
+    assert ordered.columns == [*docs.columns, "position"] and [c.position for c in copies] == sorted(c.position for c in copies)
     assert Counter(c.doc_id for c in copies) == sum((Counter({r.doc_id: len(r.positions)}) for r in got), Counter())
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
