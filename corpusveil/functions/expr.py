@@ -22,21 +22,31 @@ def any_of(conditions: list[Column]) -> Column:
     return out
 
 
+MARK, STAND_IN = "\x00", "\x01"
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """All matches of a pattern as array<struct<start, end, text>>, code points, end exclusive.
 
-    The gaps of split() and the matches of regexp_extract_all() alternate, so a running sum of
-    their lengths gives the offsets. Null text gives null, no match an empty array."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda p: p.hit.isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    Matches are also replaced by a mark that the text is freed of first; the pieces between the
+    marks and the matches alternate, so a running sum of their lengths gives the offsets. Both
+    regex functions keep their compiled pattern, which split() by a regex does not; the second
+    pass is left out where nothing matched. Null text gives null, no match an empty array."""
+
+    def place(free: Column, found: Column) -> Column:
+        gaps = F.split(F.regexp_replace(free, F.lit(pattern), F.lit(MARK)), MARK, -1)
+        pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+
+        def step(a: Column, p: Column) -> Column:
+            begin = a.at + F.length(p.gap)
+            end = begin + F.length(p.hit)
+            return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(begin.alias("start"), end.alias("end"), p.hit.alias("text")))).alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
-        begin = a.at + F.length(p.gap)
-        end = begin + F.length(p.hit)
-        return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(begin.alias("start"), end.alias("end"), p.hit.alias("text")))).alias("out"))
+        return F.when(F.size(found) == 0, F.array().cast(MATCH)).otherwise(F.aggregate(pairs, start, step, lambda a: a.out))
 
-    return F.aggregate(pairs, start, step, lambda a: a.out)
+    free = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
+    return F.when(text.isNotNull(), let(free, lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: place(t, found))))
 
 
 def title_case_caps(text: Column) -> Column:

@@ -53,12 +53,16 @@ def _iban_like(t: Column) -> Column:
     return t.rlike(r"(?i)ES\s?\d{2}")
 
 
+#: The e-mail pattern, made linear: the first part is possessive, and a run of its characters is
+#: not tried again from its middle (\G lets a match begin where the last one ended).
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + fixed.EMAIL.replace("]+@", "]++@")
+
 RECOGNIZERS = (
     Recognizer("PERSON", "ES_PERSON_INVERTED", fixed.PERSON_INVERTED, 0.7, lambda t: t.contains(",")),
     Recognizer("PERSON", "ES_PERSON_STRUCTURED", fixed.PERSON_STRUCTURED, 0.95, lambda t: t.rlike("(?i)APELLIDO") & t.rlike("(?i)NOMBRE")),
     Recognizer("ES_NIF", "ES_NIF", fixed.NIF, 0.5, _digits(7), nif_valid),
     Recognizer("ES_NIE", "ES_NIE", fixed.NIE, 0.5, _digits(7), nif_valid),
-    Recognizer("EMAIL_ADDRESS", "EMAIL", fixed.EMAIL, 0.5, lambda t: t.contains("@"), lambda v: F.lit(True)),
+    Recognizer("EMAIL_ADDRESS", "EMAIL", EMAIL, 0.5, lambda t: t.contains("@"), lambda v: F.lit(True)),
     Recognizer("PHONE_NUMBER", "ES_PHONE_INTL", fixed.PHONE_INTL, 0.7, lambda t: t.contains("+34")),
     Recognizer("PHONE_NUMBER", "ES_PHONE_LOCAL", fixed.PHONE_LOCAL, 0.5, _digits(3)),
     Recognizer("IBAN_CODE", "ES_IBAN_FULL", fixed.IBAN_FULL, 0.9, _iban_like),
@@ -79,8 +83,8 @@ def entities_of(level: str) -> tuple[str, ...]:
 def near_context(text: Column, start: Column, words: tuple[str, ...], tokens: int) -> Column:
     """Whether one of the words is part of the last `tokens` tokens before the place."""
     low = F.greatest(start - 40 * tokens, F.lit(0))
-    before = F.filter(F.split(F.lower(F.substring(text, low + 1, start - low)), r"(?U)\s+"), lambda w: w != "")
-    last = F.array_join(F.slice(before, F.greatest(F.size(before) - tokens + 1, F.lit(1)), F.lit(tokens)), " ")
+    before = F.regexp_extract_all(F.lower(F.substring(text, low + 1, start - low)), F.lit(r"(?U)\S+"), F.lit(0))
+    last = let(before, lambda b: F.array_join(F.slice(b, F.greatest(F.size(b) - tokens + 1, F.lit(1)), F.lit(tokens)), " "))
     return let(last, lambda s: any_of([s.contains(w) for w in words]))
 
 
