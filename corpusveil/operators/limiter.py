@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 DECISIONS = "accepted boolean, remaining long, reset_s long, retry_after_s long"
 
 
@@ -54,4 +56,5 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: str, limit: int =
             made = pd.DataFrame(out, columns=["accepted", "remaining", "reset_s", "retry_after_s"], index=b.index)
             yield pd.concat([b[names], made], axis=1)
 
+    ship(events.sparkSession)
     return ordered.mapInPandas(run, f"{schema}, {DECISIONS}")

@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import fixed
+from ..functions.ship import ship
 
 Swap = Callable[[str], str]
 XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
@@ -433,6 +434,7 @@ def _with(files: DataFrame, added: pa.Schema, one: Callable[..., tuple], needs:
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added.names])
 
     schema = StructType([*kept.schema.fields, *(StructField(f.name, from_arrow_type(f.type)) for f in added)])
+    ship(files.sparkSession)
     return kept.mapInArrow(run, schema)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..config import SanitizeConfig
+from ..functions.ship import ship
 from ..operators import detect, redact, report
 from ..operators.limiter import Limiter
 
@@ -61,6 +62,7 @@ class RateLimiter(StatefulProcessor):
 
 def rate_limited_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = 30, window_s: float = 60) -> DataFrame:
     """key, order, decisions; the key is given as a string."""
+    ship(events.sparkSession)
     kind = events.schema[order].dataType.simpleString()
     return (
         events.select(F.col(key).cast("string").alias("key"), ts, order)
