@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import text_of
 
 CACHE, CACHED_CHARS = 250_000, 64
@@ -190,6 +191,7 @@ def _share(docs: DataFrame, path: str) -> Broadcast:
 
 def code(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, ids (binary, little-endian uint32), decoded (binary)."""
+    ship(docs.sparkSession)
     vocabulary = _share(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import durable, new_path, text_of
 
 END, START = xxhash.xxh64_intdigest(b"\n", 0), xxhash.xxh64_intdigest(b" ", 0)
@@ -236,6 +237,7 @@ class Model:
 def train(docs: DataFrame, rows_per_shard: int = 4000, text_col: str = "text") -> Model:
     """Counts all rows of docs. Only sums over shards come to the driver."""
     spark = docs.sparkSession
+    ship(spark)
     bits = min(16, max(6, math.ceil(math.log2(max(1, docs.count()) / rows_per_shard))))
     at = new_path(spark, "lm")
     blocks = docs.select(text_of(text_col).cast("binary").alias("text")).mapInArrow(count_pairs(bits), "shard int, a binary, a_runs binary, b binary, n binary")
@@ -336,6 +338,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
                 cols = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
+    ship(docs.sparkSession)
     typed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     return typed.mapInArrow(run, f"doc_id {typed.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 

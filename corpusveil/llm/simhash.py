@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import durable, text_of
 from .components import components
 
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, width: int = 4, text_col: str = "text", id_col
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     typed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     return typed.mapInArrow(run, f"doc_id {typed.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -186,6 +188,7 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 3, levels: int | N
         tied = root != at
         return pa.table({"a": points[tied].view(np.int64), "b": points[root[tied]].view(np.int64)})
 
+    ship(distinct.sparkSession)
     visits = distinct.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
     return visits.groupBy("shard").applyInArrow(match, "a long, b long")
 
