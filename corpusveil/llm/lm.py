@@ -3,7 +3,9 @@
 Counting: tasks turn texts into 64-bit word hashes, sort and count pairs a few million tokens
 at a time, and send one block per shard of the first word's hash; a shard merges its blocks
 into one sorted array of pair hashes with counts and one of first words with their totals. A
-second exchange by the second word gives raw and continuation counts. Shards are files of
+second exchange by the second word gives raw and continuation counts. Pairs of hot first words
+(those of a bounded sample's most frequent words, at most `hot` of them, and the start mark) are
+dealt by the pair instead, and the second exchange adds their totals up; the list only steers. Shards are files of
 sorted hash arrays in the shared folder; scoring workers map them into memory and look a
 batch of tokens up by binary search. Files are written under a temporary name and renamed, so
 a repeated task replaces them with the same bytes.
@@ -21,7 +23,7 @@ for the split; repeated rows are counted and scored each; with no training rows
 gets the uniform probability; an empty table gives an empty result. Other columns are not read.
 
 Scale: shards grow with the number of documents (`rows_per_shard`), so one shard's arrays fit
-a worker; hot pairs are summed before the exchange. What a worker maps is paged in as needed.
+a worker; equal pairs are summed before the exchange. What a worker maps is paged in as needed.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import durable, new_path, text_of
+from .common import SPACE_CLASS, durable, new_path, text_of
 
 END, START = xxhash.xxh64_intdigest(b"\n", 0), xxhash.xxh64_intdigest(b" ", 0)
 FLUSH = 3_000_000
@@ -67,6 +69,14 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def shards(first: np.ndarray, second: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each pair: by its first word, or by the pair where that word is hot."""
+    by = first.copy()
+    spread = find(hot, first)[1]
+    by[spread] = pair_key(first[spread], second[spread])
+    return (by >> np.uint64(64 - bits)).astype(np.uint16)
+
+
 def runs(*sorted_columns: np.ndarray) -> np.ndarray:
     """Where a new value begins."""
     n = len(sorted_columns[0])
@@ -89,7 +99,7 @@ def put_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     draft = f"{path}.{uuid.uuid4().hex}"
     head = ";".join(f"{k},{a.dtype.str},{len(a)}" for k, a in arrays.items()).encode()
     with fs.open_output_stream(draft) as out:
-        out.write(head.ljust(256))
+        out.write(head.ljust(512))
         for a in arrays.values():
             out.write(np.ascontiguousarray(a).tobytes())
             out.write(b"\0" * (-a.nbytes % 8))
@@ -103,8 +113,8 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         near = os.path.join(tempfile.mkdtemp(), "arrays")
         pfs.copy_files(path, near, source_filesystem=fs, destination_filesystem=pfs.LocalFileSystem())
         path = near
-    whole, at, out = np.memmap(path, np.uint8, "r"), 256, {}
-    for part in whole[:256].tobytes().decode().strip().split(";"):
+    whole, at, out = np.memmap(path, np.uint8, "r"), 512, {}
+    for part in whole[:512].tobytes().decode().strip().split(";"):
         name, kind, n = part.split(",")
         size = int(n) * np.dtype(kind).itemsize
         out[name] = whole[at : at + size].view(kind)
@@ -123,7 +133,7 @@ def find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- counting -----------------------------------------------------------------------------
 
 
-def count_pairs(shard_bits: int):
+def count_pairs(shard_bits: int, hot: np.ndarray):
     """mapInArrow: texts to blocks of counted pairs by shard of the first word."""
 
     def block(firsts: list[np.ndarray], seconds: list[np.ndarray]) -> pa.RecordBatch:
@@ -132,7 +142,9 @@ def count_pairs(shard_bits: int):
         a, b = a[order], b[order]
         at = runs(a, b)
         n, a, b = np.diff(at, append=len(a)), a[at], b[at]
-        shard = (a >> np.uint64(64 - shard_bits)).astype(np.int64)
+        shard = shards(a, b, hot, shard_bits)
+        order = np.argsort(shard, kind="stable")  # keeps the runs of first words
+        a, b, n, shard = a[order], b[order], n[order], shard[order]
         cuts = runs(shard)
         rows = []
         for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
@@ -158,19 +170,21 @@ def count_pairs(shard_bits: int):
 
 
 PAIRS = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("a_runs", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
-WORDS = pa.schema([("shard", pa.int32()), ("w", pa.binary()), ("types", pa.binary()), ("n", pa.binary()), ("counts", pa.list_(pa.int64()))])
+WORDS = pa.schema([("shard", pa.int32()), ("w", pa.binary()), ("types", pa.binary()), ("n", pa.binary()), ("hot", pa.binary()), ("counts", pa.list_(pa.int64()))])
+CONTEXT = ("total", "n1", "n2", "n3")
 
 
 def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.empty(0, kind)])
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid] or [np.empty(0, kind)])
 
 
 def of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def merge_pairs(model: str, shard_bits: int):
-    """applyInArrow by shard: writes the pair and context arrays, passes words on."""
+def merge_pairs(model: str, shard_bits: int, hot: np.ndarray):
+    """applyInArrow by shard: writes the pair and context arrays, passes words and the totals of
+    hot first words on."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         a = np.repeat(joined(table["a"], np.uint64), joined(table["a_runs"], np.uint32))
@@ -183,13 +197,18 @@ def merge_pairs(model: str, shard_bits: int):
         by_a = np.argsort(a)
         heads = runs(a[by_a])
         sums = {"total": np.add.reduceat(n[by_a], heads)} | {name: np.add.reduceat(hit[by_a].astype(np.int64), heads) for name, hit in (("n1", n == 1), ("n2", n == 2), ("n3", n > 2))}
-        put_arrays(f"{model}/pairs-{key[0].as_py()}", {"key": k, "n": small(n), "first": a[by_a][heads]} | {x: small(v) for x, v in sums.items()})
+        first = a[by_a][heads]
+        whole = ~find(hot, first)[1]
+        put_arrays(f"{model}/pairs-{key[0].as_py()}", {"key": k, "n": small(n), "first": first[whole]} | {x: small(v[whole]) for x, v in sums.items()})
+        part = np.array([first.view(np.int64), *sums.values()], np.int64)[:, ~whole]
         by_b = np.argsort(b)
         heads = runs(b[by_b])
         w, types, raw = b[by_b][heads], np.diff(heads, append=len(b)).astype(np.uint32), np.add.reduceat(n[by_b], heads)
         to = (w >> np.uint64(64 - shard_bits)).astype(np.int64)
         cuts = runs(to)
         rows = [{"shard": int(to[lo]), "w": w[lo:hi].tobytes(), "types": types[lo:hi].tobytes(), "n": raw[lo:hi].tobytes()} for lo, hi in zip(cuts, [*cuts[1:], len(w)], strict=True)]
+        shard = part[0].view(np.uint64) >> np.uint64(64 - shard_bits)
+        rows += [{"shard": int(s), "hot": part[:, shard == s].T.tobytes()} for s in np.unique(shard)]
         return pa.Table.from_pylist([*rows, {"shard": -1, "counts": of_counts(n)}], WORDS)
 
     return run
@@ -206,7 +225,10 @@ def merge_words(model: str):
         order = np.argsort(w)
         heads = runs(w[order])
         types, n = np.add.reduceat(types[order], heads), np.add.reduceat(n[order], heads)
-        put_arrays(f"{model}/words-{key[0].as_py()}", {"word": w[order][heads], "n": small(n), "types": small(types)})
+        part = joined(table["hot"], np.int64).reshape(-1, 1 + len(CONTEXT))
+        hot, at = np.unique(part[:, 0].copy().view(np.uint64), return_inverse=True)
+        sums = {x: np.bincount(at, part[:, i], len(hot)).astype(np.int64) for i, x in enumerate(CONTEXT, 1)}
+        put_arrays(f"{model}/words-{key[0].as_py()}", {"word": w[order][heads], "n": small(n), "types": small(types), "first": hot} | sums)
         return pa.table({"words": pa.array([len(n)]), "tokens": pa.array([int(n.sum())]), "types": pa.array([int(types.sum())]), "pair_counts": [[0] * 4], "word_counts": [of_counts(types)]})
 
     return run
@@ -226,6 +248,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     at: str
     shard_bits: int
+    hot: tuple[int, ...]
     tokens: int
     words: int
     types: int
@@ -234,14 +257,24 @@ class Model:
     word_rest: float
 
 
-def train(docs: DataFrame, rows_per_shard: int = 4000, text_col: str = "text") -> Model:
-    """Counts all rows of docs. Only sums over shards come to the driver."""
+def frequent(docs: DataFrame, hot: int, sample: int, text_col: str) -> tuple[int, ...]:
+    """Hashes of the `hot` most frequent words of `sample` documents, and the start mark."""
+    some = docs.select(text_of(text_col).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    words = some.select(F.explode(F.split(F.lower("text"), SPACE_CLASS + "+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    top = words.filter("w <> ''").orderBy(F.desc("n"), "w").limit(hot).collect()
+    return tuple(sorted({START, *(xxhash.xxh64_intdigest(r.w.encode(), 0) for r in top)}))
+
+
+def train(docs: DataFrame, rows_per_shard: int = 4000, text_col: str = "text", hot: int = 200, hot_sample: int = 1000) -> Model:
+    """Counts all rows of docs. Only sums over shards and the hot words come to the driver."""
     spark = docs.sparkSession
     ship(spark)
     bits = min(16, max(6, math.ceil(math.log2(max(1, docs.count()) / rows_per_shard))))
     at = new_path(spark, "lm")
-    blocks = docs.select(text_of(text_col).cast("binary").alias("text")).mapInArrow(count_pairs(bits), "shard int, a binary, a_runs binary, b binary, n binary")
-    words = durable(blocks.groupBy("shard").applyInArrow(merge_pairs(at, bits), "shard int, w binary, types binary, n binary, counts array<bigint>"), "lm-words")
+    spread = frequent(docs, hot, hot_sample, text_col)
+    known = np.array(spread, np.uint64)
+    blocks = docs.select(text_of(text_col).cast("binary").alias("text")).mapInArrow(count_pairs(bits, known), "shard int, a binary, a_runs binary, b binary, n binary")
+    words = durable(blocks.groupBy("shard").applyInArrow(merge_pairs(at, bits, known), "shard int, w binary, types binary, n binary, hot binary, counts array<bigint>"), "lm-words")
     sums = words.groupBy("shard").applyInArrow(merge_words(at), "words long, tokens long, types long, pair_counts array<bigint>, word_counts array<bigint>")
     each = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("pair_counts", "word_counts") for i in range(4)]
     s = sums.agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "types")], *each).first().asDict()
@@ -250,7 +283,7 @@ def train(docs: DataFrame, rows_per_shard: int = 4000, text_col: str = "text") -
     d = discounts(word)
     more = total["words"] - word[0] - word[1]
     rest = (d[0] * word[0] + d[1] * word[1] + d[2] * more) / total["types"] if total["types"] else 1.0
-    return Model(at, bits, total["tokens"], total["words"], total["types"], pair, d, rest)
+    return Model(at, bits, spread, total["tokens"], total["words"], total["types"], pair, d, rest)
 
 
 # --- scoring ------------------------------------------------------------------------------
@@ -260,7 +293,7 @@ class Reader:
     """A worker's view of a model: each shard is mapped when first asked for."""
 
     def __init__(self, model: Model):
-        self.model, self.held = model, {}
+        self.model, self.held, self.hot = model, {}, np.array(model.hot, np.uint64)
 
     def shard(self, kind: str, k: int) -> dict[str, np.ndarray]:
         if (kind, k) not in self.held:
@@ -270,10 +303,12 @@ class Reader:
                 self.held[kind, k] = {}
         return self.held[kind, k]
 
-    def lookup(self, kind: str, key: str, by: np.ndarray, asked: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
-        """Fields of the asked keys, zero where absent. by: the hash that names the shard."""
+    def own(self, asked: np.ndarray) -> np.ndarray:
+        return (asked >> np.uint64(64 - self.model.shard_bits)).astype(np.uint16)
+
+    def lookup(self, kind: str, key: str, shard: np.ndarray, asked: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
+        """Fields of the asked keys, zero where absent."""
         out = [np.zeros(len(asked), np.float64) for _ in fields]
-        shard = (by >> np.uint64(64 - self.model.shard_bits)).astype(np.uint16)
         order = np.lexsort((asked, shard))
         cuts = runs(shard[order])
         for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -289,13 +324,14 @@ class Reader:
         m = self.model
         d, dw = np.array((0, *m.pair_discounts)), np.array((0, *m.word_discounts))
         some, back = np.unique(word, return_inverse=True)
-        n, types = (x[back] for x in self.lookup("words", "word", some, some, ("n", "types")))
+        n, types = (x[back] for x in self.lookup("words", "word", self.own(some), some, ("n", "types")))
         p = m.word_rest / (m.words + 1)
         if m.types:
             p = p + np.maximum(types - dw[np.minimum(types, 3).astype(int)], 0) / m.types
         some, back = np.unique(first, return_inverse=True)
-        total, n1, n2, n3 = (x[back] for x in self.lookup("pairs", "first", some, some, ("total", "n1", "n2", "n3")))
-        (pair,) = self.lookup("pairs", "key", first, pair_key(first, word), ("n",))
+        plain, spread = (self.lookup(kind, "first", self.own(some), some, CONTEXT) for kind in ("pairs", "words"))
+        total, n1, n2, n3 = ((x + y)[back] for x, y in zip(plain, spread, strict=True))
+        (pair,) = self.lookup("pairs", "key", shards(first, word, self.hot, m.shard_bits), pair_key(first, word), ("n",))
         seen, safe = total > 0, np.maximum(total, 1)
         own = np.maximum(pair - d[np.minimum(pair, 3).astype(int)], 0) / safe
         rest = np.where(seen, (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe, 1.0)
