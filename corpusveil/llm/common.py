@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+
+__all__ = ["SPACE_CLASS", "WORD", "documents", "durable", "let", "new_path", "shared_dir", "text_of", "without_space", "words_of"]
+
 #: ASCII white space as the word rule names it: space and TAB to CR.
 SPACE_CLASS = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
@@ -57,11 +61,5 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once per row, however often the body names it and
-    however far the optimizer pushes the result."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -181,7 +181,7 @@ def scan(docs: DataFrame, sure: float = 0.5, confirm: float = 0.6, text_col: str
     table = durable(weight_table(docs.sparkSession, weights), "licence-weights")
     text = text_of()
     some = F.when(has_cue(text), paragraphs(text)).otherwise(F.array().cast("array<string>"))
-    rows = durable(typed.select("doc_id", let(some, lambda p: p).alias("paragraphs")), "licence-paragraphs")
+    rows = durable(typed.select("doc_id", some.alias("paragraphs")), "licence-paragraphs")
     asked = rows.select(F.explode("paragraphs").alias("paragraph")).distinct()
     zero = F.array(*[F.lit(0.0)] * len(names))
     hits = asked.select("paragraph", F.explode(grams(F.col("paragraph"))).alias("gram")).join(F.broadcast(table), "gram")

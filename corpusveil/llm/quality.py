@@ -6,9 +6,10 @@ least a third of its words), boilerplate (a fixed phrase in a short line), punct
 a document that loses more than `max_loss` of its word characters is rejected. The base
 rules (too few words, too much of the text in repeated windows) reject first.
 
-Defined cases: a null or blank text has no words, fails the base rule and is rejected; lines without a word are kept as they are and never judged; repeated rows
-are judged alike; an empty table gives an empty result. Columns other than doc_id and text
-are not read by `quality`; `clean` keeps all of them.
+Defined cases: a null or blank text has no words, fails the base rule and is rejected; lines
+without a word are kept as they are and never judged; repeated rows are judged alike; an empty
+table gives an empty result. Columns other than doc_id and text are not read by `quality`;
+`clean` keeps all of them.
 
 Scale: one narrow pass, no shuffle. Windows are compared as chained 64-bit hashes inside the
 row; rows whose windows are all different stop there, the others sort their own windows.

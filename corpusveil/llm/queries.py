@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, licences, lm, mixing, passages, pii, quality, simhash
 from .common import documents
