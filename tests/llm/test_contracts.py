@@ -302,6 +302,21 @@ def test_passages(spark):
     assert passages.passages(docs_of(spark, [])).count() == 0
 
 
+def test_passages_whole_among_partial(spark):
+    """Many documents hold one part of a passage, a few the whole: these meet each other. Also
+    where a block holds one of them only, and where one holds the passage three times."""
+    random.seed(8)
+    words = lambda n: ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    whole = words(60)
+    rows = [(i, " ".join(words(40) + (whole[:44] if i % 2 else whole[16:]) + words(40))) for i in range(300)]
+    holders = {37: 1, 141: 3, 263: 1}
+    rows = [(i, " ".join(sum([words(50) + whole for _ in range(holders[i])], []) + words(50)) if i in holders else t) for i, t in rows]
+    got = {r.doc_id: r for r in passages.passages(docs_of(spark, rows)).collect()}
+    assert sorted(got) == [37, 141, 263] and {r.class_id for r in got.values()} == {37}
+    for i, times in holders.items():
+        assert len(got[i].spans) == times and all(s[0] <= 50 + 110 * k and s[1] >= 110 + 110 * k for k, s in enumerate(got[i].spans))
+
+
 def test_compact_windows_cover_every_subsequence():
     values = np.random.default_rng(0).permutation(60).astype(np.uint64)
     nodes = passages.compact_windows(values, 7)
