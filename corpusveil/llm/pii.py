@@ -1,14 +1,13 @@
 r"""Information-theoretic sanitisation of personal data.
 
 Base spans come from four patterns with checks (IPv4 parts, Luhn, digit counts). Each distinct
-base value is a protected entity. Corpus co-occurrence then says how strongly the words beside
-an entity reveal it: with document frequencies df over all N documents,
+base value is a protected entity. Corpus co-occurrence then says how strongly the words of the
+documents that name an entity reveal it: with document frequencies df over all N documents,
     PMI(e; t) = log2(N df(e, t) / (df(e) df(t))),   IC(e) = log2(N / df(e)),
 and PMI / IC is the share of the entity's information that the term gives away (1: the term
-occurs beside it only). Terms at `generalise_at` or more are replaced by their class, at
-`remove_at` or more they are removed; in documents that name the entity, beside it.
-A term needs `support` different surroundings, so neither a word seen once nor a copied
-passage passes as evidence.
+occurs in its documents only). Terms at `generalise_at` or more are replaced by their class, at
+`remove_at` or more they are removed, wherever they stand, also in documents without an entity.
+An entity named once is given away by every word that no other document has.
 
 Offsets are code points, end exclusive. Matching is leftmost and non-overlapping per kind and
 a failing match is dropped without a retry. The patterns below are the contract's, made safe
@@ -20,10 +19,11 @@ documents without a base span get none; a null id is a value like any other; an
 gives an empty result. Other columns are kept by `sanitise` (a clashing `sanitised` or `spans`
 column is replaced) and not read by `findings`.
 
-Scale: base spans and their neighbours (at most 2 * reach words a span) leave the scan in one
-narrow table. Term frequencies are counted as 64-bit hashes, combined map-side. Pairs of
-entity and term are summed map-side too, so an entity in a third of all documents is a few
-rows per task; the joins back are keyed by (entity, term) and by row and are split by AQE.
+Scale: term frequencies are counted as 64-bit hashes, combined map-side. A share of g or more
+needs df(t) <= df(e)**g * N**(1 - g), so a document's other terms never meet its entities. Pairs of
+entity and term are summed map-side, so an entity in a third of all documents is a few rows per
+task; the joins are keyed by term, by (entity, term) or by document and are split by AQE.
+Documents that hold a flagged term are found by a join and only they are searched for its places.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD, durable, let, text_of
+from .common import SPACE_CLASS, durable, let, text_of
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -39,6 +39,7 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+TERMS = "array<struct<start:int,end:int,action:string>>"
 #: What a term loses at its ends before it is counted.
 EDGES = ".,;:!?()[]{}<>\"'*#$%&|…«»“”"
 
@@ -121,69 +122,87 @@ def covered(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at + 1, F.length(text))))
 
 
-def neighbours(text: Column, spans: Column, reach: int, window: int = 200) -> Column:
-    """(entity, term, around, start, end) of the words beside each span: up to `reach` on each
-    side, among the `window` characters there. Words that a base span touches do not count."""
+def row_of() -> Column:
+    """A key of id and text."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), text_of()), 256)
 
-    def beside(span: Column, clear: Column) -> Column:
-        low = F.greatest(span.start - window, F.lit(0))
-        left = F.substring(clear, low + 1, span.start - low)
-        right = F.substring(clear, span.end + 1, F.lit(window))
 
-        def words(side: Column, shift: Column) -> Column:
-            return F.transform(occurrences(side, WORD), lambda w: F.struct((w.start + shift).alias("start"), (w.end + shift).alias("end"), term_of(w.value).alias("term")))
+def _doc() -> Column:
+    return F.xxhash64(F.col("doc_id"), text_of())
 
-        nearest = F.concat(
-            let(words(left, low), lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), F.lit(reach))),
-            F.slice(words(right, span.end), 1, reach),
-        )
-        free = F.filter(nearest, lambda w: (F.length(w.term) >= 3) & ~w.term.contains(COVER))
-        entity = F.xxhash64(span.kind, F.lower(span.value))
-        return let(free, lambda f: let(F.xxhash64(F.transform(f, lambda w: w.term)), lambda around: F.transform(f, lambda w: F.struct(entity.alias("entity"), F.xxhash64(w.term).alias("term"), around.alias("around"), w.start.alias("start"), w.end.alias("end")))))
 
-    return let(covered(text, spans), lambda clear: F.flatten(F.transform(spans, lambda s: beside(s, clear))))
+def entities_of(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda s: F.xxhash64(s.kind, F.lower(s.value))))
 
 
-def scan(docs: DataFrame, reach: int) -> DataFrame:
-    """doc_id, base, row (a key of id and text, null without a span), beside."""
-    text = text_of()
+def terms_of(text: Column) -> Column:
+    """Hashes of the text's distinct terms, without words that a base span touches."""
+    free = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: ~w.contains(COVER))
+    return F.array_distinct(F.transform(F.filter(F.transform(free, term_of), lambda t: t != ""), lambda t: F.xxhash64(t)))
+
+
+def places(text: Column, risky: Column) -> Column:
+    """(start, end, action) of the words whose term is in risky, an array of (term, action)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
+
+    def of(names: Column, actions: Column) -> Column:
+        def step(a: Column, word: Column) -> Column:
+            end = a.at + F.length(word)
+
+            def put(which: Column) -> Column:
+                here = F.array(F.struct(a.at.alias("start"), end.alias("end"), F.get(actions, (which - 1).cast("int")).alias("action")))
+                return F.struct((end + 1).alias("at"), F.when(which > 0, F.concat(a.out, here)).otherwise(a.out).cast(TERMS).alias("out"))
+
+            free = (F.length(word) > 0) & ~word.contains(COVER)
+            return let(F.when(free, F.array_position(names, F.xxhash64(term_of(word)))).otherwise(F.lit(0).cast("long")), put)
+
+        return F.aggregate(F.split(text, SPACE_CLASS, -1), start, step, lambda a: a.out)
+
+    # Named first: a lambda would build both lists anew for each word.
+    return let(F.transform(risky, lambda r: r.term), lambda names: let(F.transform(risky, lambda r: r.action), lambda actions: of(names, actions)))
 
-    def of(spans: Column) -> Column:
-        some = F.size(spans) > 0
-        return F.struct(
-            spans.alias("base"),
-            F.when(some, F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), text), 256)).alias("row"),
-            F.when(some, neighbours(text, spans, reach)).alias("beside"),
-        )
 
-    return docs.select("doc_id", F.inline(F.array(let(base_spans(text), of))))
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, base, row (a key of id and text), doc (the same as a hash)."""
+    return docs.select("doc_id", base_spans(text_of()).alias("base"), row_of().alias("row"), _doc().alias("doc"))
 
 
-def disclosures(scanned: DataFrame, docs: DataFrame, support: int, generalise_at: float) -> DataFrame:
+def disclosures(scanned: DataFrame, docs: DataFrame, generalise_at: float) -> DataFrame:
     """(entity, term, share) of the terms that give away at least generalise_at of an entity."""
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b.entity.alias("entity"), b.term.alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both"))
-    around = scanned.select(F.explode("beside").alias("b")).groupBy("b.entity", "b.term", "b.around").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("surroundings")).filter(F.col("surroundings") >= support)
-    entities = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s.kind, F.lower(s.value))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("named"))
-    words = F.array_distinct(F.transform(F.split(text_of(), SPACE_CLASS + "+"), lambda w: F.xxhash64(term_of(w))))
-    frequencies = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    candidates = pairs.join(around, ["entity", "term"]).join(entities, "entity")
-    total = F.lit(scanned.count()).cast("double")
-    both = F.least("both", "seen", "named")
-    share = F.log2(total * both / (F.col("named") * F.col("seen"))) / F.log2(total / F.col("named"))
-    return candidates.join(frequencies, "term").filter(F.col("named") < total).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
-
-
-def findings(docs: DataFrame, reach: int = 5, support: int = 3, generalise_at: float = 0.85, remove_at: float = 0.97) -> DataFrame:
-    """One row per document: doc_id, base (spans), terms (array of start, end, action), row."""
-    scanned = durable(scan(docs, reach), "pii-scan")
-    risky = disclosures(scanned, docs, support, generalise_at)
-    beside = scanned.filter("row IS NOT NULL").select("row", F.explode("beside").alias("b")).select("row", "b.entity", "b.term", "b.start", "b.end").distinct()
+    total = float(scanned.count())
+    named = scanned.filter(F.size("base") > 0).select("doc", F.explode(entities_of(F.col("base"))).alias("entity")).groupBy("doc", "entity").agg(F.count(F.lit(1)).alias("copies"))
+    named = durable(named, "pii-named")
+    # No term seen more often can reach generalise_at, even if it stands beside each mention.
+    bound = F.pow("named", F.lit(generalise_at)) * F.pow(F.lit(total), F.lit(1 - generalise_at)) * 1.000001
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("named")).filter(F.col("named") < total).withColumn("bound", bound)
+    entities = durable(entities, "pii-entities")
+    by_doc = named.join(entities, "entity").groupBy("doc").agg(F.collect_list(F.struct("entity", "named", "bound", "copies")).alias("es"), F.max("bound").alias("most"))
+    by_doc = durable(by_doc, "pii-by-document")
+    words = docs.select(F.explode(terms_of(text_of())).alias("term"))
+    seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    cap = entities.agg(F.max("bound")).first()[0] or 0.0
+    seen = durable(seen.filter(F.col("seen") <= cap), "pii-frequencies")
+    some = docs.select(_doc().alias("doc"), F.explode(let(base_spans(text_of()), lambda b: F.when(F.size(b) > 0, terms_of(covered(text_of(), b))))).alias("term"))
+    rare = some.join(seen, "term").distinct().join(by_doc, "doc").filter("seen <= most")
+    pairs = rare.select("term", "seen", F.explode(F.filter("es", lambda e: e.bound >= F.col("seen"))).alias("e"))
+    both = pairs.groupBy("e.entity", "term").agg(F.sum("e.copies").alias("both"), F.first("seen").alias("seen"), F.first("e.named").alias("named"))
+    share = F.log2(total * F.least("both", "seen", "named") / (F.col("named") * F.col("seen"))) / F.log2(total / F.col("named"))
+    return both.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
+
+
+def findings(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.97) -> DataFrame:
+    """One row per document: doc_id, base (spans), terms (array of start, end, action), row (null
+    without either)."""
+    scanned = durable(scan(docs), "pii-scan")
     action = F.when(F.max("share") >= remove_at, "remove").otherwise("generalise")
-    flagged = beside.join(risky, ["entity", "term"]).groupBy("row", "start", "end").agg(action.alias("action"))
-    by_row = flagged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    plain = scanned.filter("row IS NULL").select("doc_id", "base", "row", F.array().cast("array<struct<start:int,end:int,action:string>>").alias("terms"))
-    named = scanned.filter("row IS NOT NULL").join(by_row, "row", "left").select("doc_id", "base", "row", F.coalesce("terms", F.array()).alias("terms"))
-    return plain.unionByName(named)
+    risky = durable(disclosures(scanned, docs, generalise_at).groupBy("term").agg(action.alias("action")), "pii-terms")
+    holds = docs.select(_doc().alias("doc"), F.explode(terms_of(text_of())).alias("term")).join(risky, "term")
+    holds = durable(holds.groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("risky")), "pii-holders")
+    text = let(F.col("text"), lambda t: covered(t, base_spans(t)))
+    found = docs.select(_doc().alias("doc"), text_of().alias("text")).join(holds, "doc").select("doc", places(text, F.col("risky")).alias("terms"))
+    found = found.dropDuplicates(["doc"])
+    out = scanned.join(found, "doc", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    return out.select("doc_id", "base", "terms", F.when((F.size("base") > 0) | (F.size("terms") > 0), F.col("row")).alias("row"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -222,8 +241,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """The documents' own columns plus sanitised (text) and spans (as the digest spells them)."""
     found = findings(docs, **options).filter("row IS NOT NULL").select("row", "base", "terms").dropDuplicates(["row"])
     text = text_of()
-    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), text), 256)
     kept = [c for c in docs.columns if c not in ("sanitised", "spans")]
     spell = F.array_join(F.concat(F.transform("base", lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s.start.cast("string"), s.end.cast("string")))), ",")
-    joined = docs.select(*kept, key.alias("_row")).join(found.withColumnRenamed("row", "_row"), "_row", "left")
+    joined = docs.select(*kept, row_of().alias("_row")).join(found.withColumnRenamed("row", "_row"), "_row", "left")
     return joined.select(*kept, F.when(F.col("base").isNull(), text).otherwise(rewrite(text, F.col("base"), F.col("terms"))).alias("sanitised"), F.coalesce(spell, F.lit("")).alias("spans"))

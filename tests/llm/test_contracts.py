@@ -91,6 +91,20 @@ def test_pii_terms(spark):
     assert all(got[100 + i].sanitised == rows[8 + i][1] and got[100 + i].spans == "" for i in range(200)) and "term" not in got[500].spans
 
 
+def test_pii_terms_anywhere(spark):
+    """An entity named once is given away by a far-off name, by one of two characters, and in a
+    document that does not name it; a mention's own words and common ones stay."""
+    random.seed(4)
+    filler = lambda n: " ".join(random.choice(["oak", "elm", "ash", "fir"]) + str(random.randrange(20)) for _ in range(n))
+    rows = [(i, filler(60)) for i in range(200)]
+    rows += [(500, f"Peregrine, {filler(150)} \n\n李明 {filler(60)} mail me@corp.example the"), (501, f"{filler(80)} (Peregrine) {filler(9)}")]
+    got = {r.doc_id: r for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert "Peregrine" not in got[500].sanitised + got[501].sanitised and "李明" not in got[500].sanitised and "[EMAIL]" in got[500].sanitised
+    assert all(got[i].sanitised == t and got[i].spans == "" for i, t in rows[:200])
+    start = rows[201][1].index("(Peregrine)")
+    assert got[501].spans == f"term:{start}:{start + 11}"
+
+
 # 2 ---------------------------------------------------------------------------------------
 
 
