@@ -37,11 +37,20 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpusveil/{what}-{uuid.uuid4().hex}"
 
 
+#: With this on, Spark removes an execution's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that what follows neither
-    recomputes it nor depends on one executor's disk."""
+    recomputes it nor depends on one executor's disk. Its shuffle files go at once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -343,34 +343,43 @@ def test_compact_windows_cover_every_subsequence():
 # 9 ---------------------------------------------------------------------------------------
 
 
-def test_language_model(spark, prose):
-    got = lm.score_held_out(docs_of(spark, prose), rows_per_shard=1).collect()
-    words = [(i, W.findall(lower(t)) + ["\n"], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t in prose]
-    c, pairs = Counter(), Counter()
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, prose, order):
+    got = lm.score_held_out(docs_of(spark, prose), order=order, hot_sample=20).collect()
+    words = [(i, [" ", *W.findall(lower(t)), "\n"], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t in prose]
+    c, level = Counter(), {1: Counter(), 2: Counter(), 3: Counter()}
     for _, w, out in words:
         if not out:
-            c.update(w)
-            pairs.update(zip([" ", *w[:-1]], w, strict=True))
-    n, v, types, after, kinds = sum(c.values()), len(c), Counter(b for _, b in pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pairs.items():
-        after[a] += k
-        kinds[a][min(k, 3) - 1] += 1
-    d, dw = (lm.discounts([sum(x == k for x in t.values()) for k in (1, 2, 3, 4)]) for t in (pairs, types))
-    all_types = sum(types.values())
-    rest = sum(dw[min(x, 3) - 1] for x in types.values()) / all_types
-
-    def p(a, b):
-        x = types.get(b, 0)
-        q = (max(x - dw[min(x, 3) - 1], 0) / all_types if x else 0) + rest / (v + 1)
-        if a not in after:
-            return q
-        y = pairs.get((a, b), 0)
-        return (max(y - d[min(y, 3) - 1], 0) if y else 0) / after[a] + sum(x * k for x, k in zip(d, kinds[a], strict=True)) / after[a] * q
-
-    some = max(after, key=after.get)
-    assert abs(sum(p(some, b) for b in c) + p(some, "unseen word") - 1) < 1e-9
+            c.update(w[1:])
+            level[order].update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+            if order == 3:
+                level[2][tuple(w[:2])] += 1  # nothing comes before the start mark
+    if order == 3:
+        level[2].update(t[1:] for t in level[3])
+    level[1].update(t[1:] for t in level[2])
+    n, v = sum(c.values()), len(c)
+    d = {k: lm.discounts([sum(x == j for x in level[k].values()) for j in (1, 2, 3, 4)]) for k in range(1, order + 1)}
+    sums = defaultdict(lambda: [0, 0, 0, 0])
+    for counts in level.values():
+        for t, x in counts.items():
+            sums[t[:-1]][0] += x
+            sums[t[:-1]][min(x, 3)] += 1
+
+    def p(t):
+        """Of the last word of t, after the others."""
+        k = len(t)
+        if not k:
+            return 1 / (v + 1)
+        total, *kinds = sums.get(t[:-1], (0, 0, 0, 0)) if k > 1 else sums[()]
+        if not total:
+            return p(t[1:])
+        x = level[k].get(t, 0)
+        return (max(x - d[k][min(x, 3) - 1], 0) if x else 0) / total + sum(a * b for a, b in zip(d[k], kinds, strict=True)) / total * p(t[1:])
+
+    some = max((t for t in sums if len(t) == order - 1), key=lambda t: sums[t][0])
+    assert abs(sum(p((*some, x)) for x in c) + p((*some, "unseen word")) - 1) < 1e-9
     spell = lambda i, out, n, known, base, s: (i, out, n, known, round(base, 5), round(s, 5))
-    want = Counter(spell(i, out, len(w), sum(t in c for t in w), sum(math.log10((c.get(t, 0) + 1) / (n + v + 1)) for t in w), sum(math.log10(p(a, b)) for a, b in zip([" ", *w[:-1]], w, strict=True))) for i, w, out in words)
+    want = Counter(spell(i, out, len(w) - 1, sum(t in c for t in w[1:]), sum(math.log10((c.get(t, 0) + 1) / (n + v + 1)) for t in w[1:]), sum(math.log10(p(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(1, len(w)))) for i, w, out in words)
     assert Counter(spell(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == want
     assert {r.train_tokens for r in got} == {n}
     held = [r for r in got if r.held_out and r.n_tokens > 5]
