@@ -141,8 +141,10 @@ def test_simhash(spark, prose):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-def test_tree_search_is_exact():
-    """Random, clustered and equal points: routing and search find what comparing all finds."""
+@pytest.mark.parametrize("levels", [4, 8, 14])
+def test_tree_search_is_exact(levels):
+    """Random, clustered and equal points: routing and search find what comparing all finds, and
+    a point visits no more leaves than its ball has values."""
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 2**64, 40, np.uint64)
     near = np.concatenate([seeds ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) for _ in range(20)])
@@ -151,8 +153,9 @@ def test_tree_search_is_exact():
     want = {(i, j) for i in range(n) for j in np.nonzero(np.bitwise_count(points ^ points[i]) <= 4)[0].tolist() if i < j}
     forest = simhash.Forest(n)
     for mask in simhash.block_masks(3):
-        tree = simhash.Tree(mask, 1, 4, points[:200])
+        tree = simhash.Tree(mask, 1, levels, points[:200])
         at, leaf, home = tree.route(points)
+        assert len(at) < (4 if levels == 4 else 23) * n and len(set(zip(at.tolist(), leaf.tolist(), strict=True))) == len(at)
         assert np.bincount(at[home], minlength=n).tolist() == [1] * n
         for k in np.unique(leaf):
             mine = at[leaf == k]
@@ -161,6 +164,21 @@ def test_tree_search_is_exact():
     assert classes(n, want) == forest.roots(np.arange(n)).tolist()
 
 
+def test_simhash_dedup_with_repeated_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(5, text), (3, text + " "), (5, text + "\n"), (3, text + " "), (None, text), (9, "something else"), (None, "without id"), (None, "without id")]
+    got = Counter((r.doc_id, r.text) for r in simhash.dedup(docs_of(spark, rows)).collect())
+    assert got == Counter([(3, text + " "), (9, "something else"), (None, "without id")])
+    assert simhash.dedup(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("levels", [8, 14])
+def test_simhash_at_many_levels(spark, prose, levels):
+    key = lambda found: Counter((r.doc_id, r.fingerprint, r.component_id) for r in found.collect())
+    docs = docs_of(spark, prose)
+    assert key(simhash.near_duplicates(docs, levels=levels)) == key(simhash.near_duplicates(docs))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
