@@ -349,13 +349,80 @@ def test_passages_whole_among_partial(spark):
         assert len(got[i].spans) == times and all(s[0] <= 50 + 110 * k and s[1] >= 110 + 110 * k for k, s in enumerate(got[i].spans))
 
 
+def brute_hits(a, b, d, least):
+    """Windows of a against those of b on the line d: the size of a one-to-one match of shingles
+    that lie at most a quarter of a window off the line."""
+    out = {}
+    for i in range(max(0, d), min(len(a), len(b) + d) - least + 1):
+        window, other = a[i : i + least], b[i - d : i - d + least]
+        common = Counter(window) & Counter(other)
+        out[i] = sum(common.values()) / (2 * least - sum(common.values()))
+    return out
+
+
+def test_near_spans():
+    """Distinct shingles, some changed, put in or left out: the Jaccard of sets decides."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = rng.integers(0, 2**64, 60, np.uint64)
+        b = a.copy()
+        for _ in range(rng.integers(0, 4)):
+            at = rng.integers(0, len(b))
+            b = [np.delete(b, at), np.insert(b, at, rng.integers(0, 2**64, dtype=np.uint64)), np.concatenate([b[:at], rng.integers(0, 2**64, 1, np.uint64), b[at + 1 :]])][rng.integers(0, 3)]
+        d = int(rng.integers(-2, 3))
+        want = [i for i, s in brute_hits(a.tolist(), b.tolist(), d, 20).items() if s >= 0.8]
+        assert passages.near_spans(a, b, d, 20, 0.8).tolist() == want
+    same = np.ones(40, np.uint64)
+    assert passages.near_spans(same, same, 0, 20, 0.8).tolist() == list(range(21)) and not len(passages.near_spans(same[:10], same, 0, 20, 0.8))
+
+
+def test_passages_with_partial_holders_and_edits(spark):
+    """Each passage has twenty holders of 43 of its 50 words; two documents hold all of it, or
+    all but for one changed, one added or one missing word in a longer passage."""
+    random.seed(12)
+    words = lambda n: ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(24):
+        edit = k % 4
+        whole = words(50 if not edit else 80)
+        other = [list(whole), [*whole[:40], "x", *whole[41:]], [*whole[:40], "x", *whole[40:]], whole[:40] + whole[41:]][edit]
+        pairs.append((len(rows), len(rows) + 1))
+        for piece in (whole, other):
+            rows.append((len(rows), " ".join(words(30) + piece + words(30))))
+        for j in range(20):
+            rows.append((len(rows), " ".join(words(40) + (whole[:43] if j % 2 else whole[-43:]) + words(40))))
+    got = {r.doc_id: r.class_id for r in passages.passages(docs_of(spark, rows)).collect()}
+    linked = [got.get(a) == got.get(b) == a for a, b in pairs]
+    assert all(linked[::4]) and sum(linked) >= 23 and set(got) <= {i for p in pairs for i in p}
+
+
+def test_long_passages(spark):
+    """A least length of 600 words: the widths beside a minimum do not end at 255."""
+    random.seed(13)
+    words = lambda n: ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for k in range(6):
+        whole = words(605)
+        rows += [(2 * k + j, " ".join(words(50) + whole + words(50))) for j in range(2)]
+    got = {r.doc_id: r.class_id for r in passages.passages(docs_of(spark, rows), words=600).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
 def test_compact_windows_cover_every_subsequence():
-    values = np.random.default_rng(0).permutation(60).astype(np.uint64)
-    nodes = passages.compact_windows(values, 7)
-    for i in range(60):
-        for j in range(i + 6, 60):
-            c = i + int(values[i : j + 1].argmin())
-            assert sum(l <= i and c == k and j <= r for l, k, r in nodes) == 1
+    """Each window of the least width has one node, and a node reaches as far as no smaller value
+    stands, up to that width. Two texts; equal values count by their place."""
+    values = np.concatenate([np.random.default_rng(0).permutation(60), [5, 5, 5, 5, 9, 5, 5, 5, 5], [1, 1]]).astype(np.uint64) << np.uint64(20)
+    owner = np.repeat([0, 1, 2], [60, 9, 2])
+    nodes = list(zip(*[x.tolist() for x in passages.compact_windows(values, owner, 7)], strict=True))
+    for i in range(len(values) - 6):
+        if owner[i] == owner[i + 6]:
+            c = i + int(values[i : i + 7].argmin())
+            assert sum(l <= i and k == c and i + 6 <= r for l, k, r in nodes) == 1
+    for l, c, r in nodes:
+        assert values[l : r + 1].argmin() + l == c and owner[l] == owner[r]
+        assert l == 0 or owner[l - 1] != owner[c] or values[l - 1] <= values[c] or c - l == 6
+        assert r == len(values) - 1 or owner[r + 1] != owner[c] or values[r + 1] < values[c] or r - c == 6
+    assert not len(passages.compact_windows(values[:3], owner[:3], 7)[0])
 
 
 # 9 ---------------------------------------------------------------------------------------
