@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -189,8 +189,9 @@ def _share(docs: DataFrame, path: str) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast({"key": path, "ranks": ranks})
 
 
-def code(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, ids (binary, little-endian uint32), decoded (binary)."""
+def code(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", more: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, ids (binary, little-endian uint32), decoded (binary), and the
+    columns of `more`."""
     ship(docs.sparkSession)
     vocabulary = _share(docs, path)
 
@@ -200,11 +201,14 @@ def code(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_co
             for at in range(0, b.num_rows, ROWS_OUT):
                 part = b.slice(at, ROWS_OUT)
                 ids = [own.encode(t.as_py().decode("utf-8", "replace")) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.binary()), *part.columns[2:]], names=["doc_id", "ids", "decoded", *more])
 
-    typed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return typed.mapInArrow(run, f"doc_id {typed.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+    typed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"), *more)
+    kinds = "".join(f", `{c}` {typed.schema[c].dataType.simpleString()}" for c in more)
+    return typed.mapInArrow(run, f"doc_id {typed.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary{kinds}")
 
 
 def digest(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, digests of ids and text, and what else `code` was given."""
+    more = [c for c in coded.columns if c not in ("doc_id", "ids", "decoded")]
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

@@ -16,7 +16,7 @@ is taken when its middle lies at or before the target, so a source misses its ta
 a document at most.
 
 Defined cases: a null or blank text has size 0 and takes no words; a null source is a source
-of its own; null or repeated ids order as the empty string, or among themselves by size; an
+of its own; null or repeated ids order as the empty string, or among themselves by size and text; an
 empty table gives an empty result. `mix` reads no other columns, `curriculum_order` keeps all.
 
 Scale: running sums are two-level. Documents fall into 16**digits buckets per source by the
@@ -47,6 +47,7 @@ def sizes(docs: DataFrame, digits: int, keep: Sequence[str] = ()) -> DataFrame:
         F.col("source").isNull().alias("_sn"),
         F.coalesce("source", F.lit("")).alias("_sv"),
         rank.alias("_rank"),
+        F.xxhash64(text_of()).alias("_text"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
     ).withColumn("_bucket", F.substring("_rank", 1, digits))
 
@@ -98,25 +99,26 @@ def _placed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: in
     plan = targets(sums, weights, max_repeats)
     knots = F.get(F.array(*[F.array(*map(F.lit, k)) for k in curriculum]), F.col("_class") % len(curriculum))
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_words").over(before), F.lit(0))).join(plan, ["_sn", "_sv"]).withColumn("_knots", knots).drop("_words", "_class")
-    inside = Window.partitionBy(*key).orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("_rank", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, key)
     middle = lambda e: F.col("_offset") + F.col("_in") + e * F.col("source_size") + F.col("size") / 2
     epochs = F.filter(F.array(*[F.lit(e).cast("long") for e in range(max_repeats)]), lambda e: (F.col("size") > 0) & (middle(e) <= F.col("target")))
     at = F.transform(epochs, lambda e: invert(middle(e) / F.col("target"), F.col("_knots")))
-    return placed.withColumn("positions", at).select("doc_id", "source", "size", "source_size", "target", "positions", (F.size("positions") * F.col("size")).cast("long").alias("taken"), *[f"_keep_{c}" for c in keep])
+    return placed.withColumn("positions", at).select("doc_id", "source", "size", "source_size", "target", "positions", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "_text", *[f"_keep_{c}" for c in keep])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document, range-sorted by its first position (documents that the mix leaves
     out come last): doc_id, source, size, source_size, target, positions (array<double>, one
     training position per copy taken), taken. options: weights, max_repeats, curriculum, digits."""
-    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
-    return _placed(docs, **options).repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
+    order = (F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)), F.col("doc_id"), F.col("_text"))
+    return _placed(docs, **options).repartitionByRange(*order).sortWithinPartitions(*order).drop("_text")
 
 
 def curriculum_order(docs: DataFrame, position_col: str = "position", **options) -> DataFrame:
     """The training order itself: the documents' own columns plus a position, one row per copy
     taken, range-sorted by position. A column already named like the position is replaced."""
     names = [c for c in docs.columns if c != position_col]
-    copies = _placed(docs, keep=names, **options).select(*[F.col(f"_keep_{c}").alias(c) for c in names], F.explode("positions").alias(position_col))
-    return copies.repartitionByRange(F.col(position_col), F.col("doc_id")).sortWithinPartitions(position_col, "doc_id")
+    copies = _placed(docs, keep=names, **options).select(*[F.col(f"_keep_{c}").alias(c) for c in names], F.explode("positions").alias(position_col), F.col("_text").alias("__text"))
+    order = (F.col(position_col), F.col("doc_id"), F.col("__text"))
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).drop("__text")

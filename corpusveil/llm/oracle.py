@@ -23,7 +23,7 @@ SELECT c.doc_id, c.size, t.source_size, t.target,
 FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 """
 
-_PHRASES = "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|click here|subscribe to our newsletter|sign up for|skip to content|back to top|share on facebook|follow us on"
+_PHRASES = "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|click here|subscribe to our newsletter|sign up for|skip to content|back to top|share on facebook|follow us on|todos los derechos reservados|política de cookies|política de privacidad|aviso legal|tous droits réservés|politique de confidentialité|mentions légales|conditions d’utilisation|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen"
 
 OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
@@ -31,16 +31,18 @@ w AS (SELECT k, doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM d
 n AS (SELECT k, i, list_slice(words, i, i + 7) AS g FROM (SELECT k, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
 dup AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM n) WHERE c > 1),
 rep AS (SELECT k, sum(least(8, i - last))::BIGINT AS n FROM (SELECT k, i, coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), -8) AS last FROM dup) GROUP BY k),
-l AS (SELECT k, line, len(regexp_extract_all(line, '{WORD}')) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}')),
-j AS (SELECT *, (len(regexp_extract_all(line, '[|»›→•]')) >= 3 AND 3 * len(regexp_extract_all(line, '[|»›→•]')) >= n)
+l AS (SELECT k, i, line, len(regexp_extract_all(line, '{WORD}')) AS n
+      FROM (SELECT k, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT k, string_split(text, chr(10)) AS lines FROM w))),
+j AS (SELECT *, n > 0 AND ((len(regexp_extract_all(line, '[|»›→•]')) >= 3 AND 3 * len(regexp_extract_all(line, '[|»›→•]')) >= n)
           OR (n <= 12 AND regexp_matches(lower(line), '{_PHRASES}'))
           OR len(regexp_extract_all(line, '[#*$%&|<>]')) > n
           OR (n >= 4 AND 2 * len(regexp_extract_all(line, '!!')) >= n)
-          OR (n >= 40 AND NOT regexp_matches(line, '[.,;:!?…。！？、،]')) AS fails FROM l),
-a AS (SELECT k, (count(*) - count(DISTINCT line))::BIGINT AS n_dup, coalesce(sum(CASE WHEN fails THEN length(regexp_replace(line, '{SPACE}', '', 'g')) END), 0)::BIGINT AS lost FROM j GROUP BY k),
+          OR (n >= 40 AND NOT regexp_matches(line, '[.,;:!?…。！？、،]'))) AS fails FROM l),
+a AS (SELECT k, (count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0))::BIGINT AS n_dup, count(*) FILTER (fails) AS removed,
+             coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT fails), '') AS cleaned, coalesce(sum(CASE WHEN fails THEN length(regexp_replace(line, '{SPACE}', '', 'g')) END), 0)::BIGINT AS lost FROM j GROUP BY k),
 r AS (SELECT w.doc_id, len(w.words) AS n_words, length(regexp_replace(w.text, '{SPACE}', '', 'g')) AS word_chars,
              len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS n_symbols, coalesce(a.n_dup, 0) AS n_dup_lines,
-             coalesce(rep.n, 0) AS n_repeat_words, coalesce(a.lost, 0) AS lost_chars
+             coalesce(rep.n, 0) AS n_repeat_words, a.removed AS n_removed_lines, a.lost AS lost_chars, sha256(a.cleaned) AS cleaned_sha256
       FROM w LEFT JOIN a USING (k) LEFT JOIN rep USING (k))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= 50 * word_chars AS kept FROM r

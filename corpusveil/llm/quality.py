@@ -9,7 +9,7 @@ rules (too few words, too much of the text in repeated windows) reject first.
 Defined cases: a null or blank text has no words, fails the base rule and is rejected; lines
 without a word are kept as they are and never judged; repeated rows are judged alike; an empty
 table gives an empty result. Columns other than doc_id and text are not read by `quality`;
-`clean` keeps all of them.
+`clean` keeps all of them, with the cleaned text in place of the text.
 
 Scale: one narrow pass, no shuffle. Windows are compared as chained 64-bit hashes inside the
 row; rows whose windows are all different stop there, the others sort their own windows.
@@ -41,6 +41,17 @@ BOILERPLATE = (
     "back to top",
     "share on facebook",
     "follow us on",
+    "todos los derechos reservados",
+    "política de cookies",
+    "política de privacidad",
+    "aviso legal",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "conditions d’utilisation",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
 )
 SYMBOLS = r"[#*$%&|<>]"
 BARS = r"[|»›→•]"
@@ -92,12 +103,18 @@ def judge(text: Column, min_words: int = 20, max_repeat: int = 30, max_loss: int
     counts = let(words_of(text), lambda words: F.struct(F.size(words).alias("n"), let(F.transform(words, lambda w: F.xxhash64(w)), repeats).alias("again")))
 
     def by_line(lines: Column) -> Column:
-        dup = let(F.transform(lines, lambda x: x.line), lambda worded: F.size(worded) - F.size(F.array_distinct(worded)))
-        failing = F.filter(lines, lambda x: x.fails)
-        return F.struct(dup.alias("dup"), F.length(without_space(F.array_join(F.transform(failing, lambda x: x.line), ""))).alias("lost"))
+        of = lambda rows: F.transform(rows, lambda x: x.line)
+        dup = let(of(F.filter(lines, lambda x: x.worded)), lambda worded: F.size(worded) - F.size(F.array_distinct(worded)))
+        cleaned = F.array_join(of(F.filter(lines, lambda x: ~x.fails)), "\n")
 
-    worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    lines = F.transform(worded, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+        def lost(failing: Column) -> Column:
+            chars = F.length(without_space(F.array_join(of(failing), "")))
+            return F.struct(dup.alias("dup"), F.size(failing).alias("removed"), chars.alias("lost"), F.when(F.size(failing) > 0, cleaned).otherwise(text).alias("cleaned"))
+
+        return let(F.filter(lines, lambda x: x.fails), lost)
+
+    worded = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), x.rlike(WORD).alias("worded")))
+    lines = F.transform(worded, lambda x: F.struct(x.line.alias("line"), x.worded.alias("worded"), (x.worded & line_fails(x.line)).alias("fails")))
 
     def verdict(c: Column, line: Column, chars: Column) -> Column:
         base = (c.n < min_words) | (100 * c.again > max_repeat * c.n)
@@ -107,25 +124,27 @@ def judge(text: Column, min_words: int = 20, max_repeat: int = 30, max_loss: int
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             line.dup.cast("long").alias("n_dup_lines"),
             c.again.cast("long").alias("n_repeat_words"),
+            line.removed.cast("long").alias("n_removed_lines"),
             line.lost.cast("long").alias("lost_chars"),
             base.alias("base_failed"),
             (~base & (100 * line.lost <= max_loss * chars)).alias("kept"),
+            line.cleaned.alias("cleaned"),
         )
 
     return let(counts, lambda c: let(let(lines, by_line), lambda line: let(F.length(without_space(text)), lambda chars: verdict(c, line, chars))))
 
 
-def cleaned(text: Column) -> Column:
-    """The text without its failing lines."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & line_fails(x))), "\n")
-
-
 def quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **rules: int) -> DataFrame:
-    """One row per document: doc_id, the base counts, lost_chars (word characters on failing
-    lines), base_failed, kept."""
+    """One row per document: doc_id, the base counts, n_removed_lines and lost_chars (failing lines
+    and their word characters), base_failed, kept, cleaned (the text without its failing lines)."""
     return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(judge(text_of(text_col), **rules))))
 
 
+def digest(judged: DataFrame) -> DataFrame:
+    return judged.select(*[c for c in judged.columns if c != "cleaned"], F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
 def clean(docs: DataFrame, text_col: str = "text", **rules: int) -> DataFrame:
-    """The documents that pass, in their own columns, whole texts unchanged."""
-    return docs.filter(judge(text_of(text_col), **rules).kept)
+    """The documents that pass, in their own columns, their texts without the failing lines."""
+    judged = docs.select("*", F.inline(F.array(F.struct(judge(text_of(text_col), **rules).alias("__judged")))))
+    return judged.filter("__judged.kept").select(*[F.col("__judged.cleaned").alias(c) if c == text_col else F.col(c) for c in docs.columns])

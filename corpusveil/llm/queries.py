@@ -13,7 +13,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+    return quality.digest(quality.quality(documents(spark, sf_dir)))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

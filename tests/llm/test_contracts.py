@@ -249,10 +249,11 @@ def test_quality(spark, prose):
     assert Counter(tuple(r)[:6] + (r.base_failed,) for r in got) == Counter(want)
     kept = {r.doc_id: r.kept for r in got}
     assert not any(kept[i] for i in (0, 1, 2, 3, 300, 301, 302)) and kept[303]
-    cleaned = {r.doc_id: r.c for r in docs_of(spark, rows).select("doc_id", quality.cleaned(F.col("text")).alias("c")).collect()}
-    assert "|" not in cleaned[301] and "rights" not in cleaned[303] and cleaned[1] == ""
+    cleaned = {r.doc_id: r.cleaned for r in got}
+    assert "|" not in cleaned[301] and "rights" not in cleaned[303] and cleaned[1] == "" and cleaned[2] == " \n\t "
+    assert {r.doc_id: r.n_removed_lines for r in got if r.doc_id in (301, 303, 1)} == {301: 9, 303: 1, 1: 0}
     stay = quality.clean(docs_of(spark, rows))
-    assert stay.columns == docs_of(spark, rows).columns and Counter(r.doc_id for r in stay.collect()) == Counter(r.doc_id for r in got if r.kept)
+    assert stay.columns == docs_of(spark, rows).columns and Counter((r.doc_id, r.text) for r in stay.collect()) == Counter((r.doc_id, r.cleaned) for r in got if r.kept)
 
 
 @pytest.mark.parametrize("weak", [False, True])

@@ -25,7 +25,7 @@ def corpus():
         rows.append((i, rows[i - 120][1].replace(" ", "  "), "s0"))
     for i in range(140, 160):  # near copies
         rows.append((i, rows[i - 140][1].replace(".", "!"), "s1"))
-    return rows + [(200, None, "s1"), (201, "", "s2"), (202, "nav | bar | one | two | three | four | five | six | seven | eight | nine | ten", "s0"), (203, "short one", None), (204, "the same nine words over and over again now " * 20, "s1")]
+    return rows + [(200, None, "s1"), (201, "", "s2"), (202, "nav | bar | one | two | three | four | five | six | seven | eight | nine | ten", "s0"), (203, "short one", None), (205, "w " * 12 + " ".join(f"unique{i}" for i in range(40)) + ".\nAll rights reserved.", "s2"), (17, "another text of a repeated id " + " ".join(f"other{i}" for i in range(40)) + ".", "s1"), (204, "the same nine words over and over again now " * 20, "s1")]
 
 
 def test_run(spark, tmp_path):
@@ -45,7 +45,7 @@ def test_run(spark, tmp_path):
         again = {j for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
         return len(words) >= 20 and 100 * len(again) <= 30 * len(words) and " | " not in (t or "")
 
-    left = [(i, t, s) for i, t, s in rows if good(t)]
+    left = [(i, t.removesuffix("\nAll rights reserved."), s) for i, t, s in rows if good(t)]
     groups = defaultdict(list)
     for i, t, s in left:
         groups[SPACE.sub("", t)].append((-len(t), i, t, s))
@@ -54,13 +54,23 @@ def test_run(spark, tmp_path):
     roots = classes(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     left = [x for k, x in enumerate(left) if roots[k] == k]  # sorted by id, so a root has the smallest
     frame = spark.createDataFrame(left, "doc_id long, text string, source string")
-    copies = {r.doc_id: len(r.positions) for r in mixing.mix(frame).collect()}
+    copies = Counter()
+    for r in mixing.curriculum_order(frame).collect():
+        copies[r.doc_id, r.text] += 1
     coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = Counter()
     for i, t, _ in left:
         ids = np.array(coder.encode_ordinary(t), "<u4")
-        want[(i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())] += copies[i]
-    assert Counter(map(tuple, got)) == +want and 20 < len(left) < 120
+        want[(i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())] += copies[i, t]
+    assert Counter(tuple(r)[:4] for r in got) == +want and 20 < len(left) < 130 and 205 in {r.doc_id for r in got}
+    # The order of files and rows is the training order.
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.order_part, r.order_row))]
+    assert order == [r.doc_id for r in mixing.curriculum_order(frame).collect()]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
@@ -71,4 +81,5 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() > 0, name
         assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0, name
     assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 4
+    assert pipeline.STAGES[-1][1](spark, docs.filter("false"), str(tmp_path)).count() == 0
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_dedup", "mixing", "byte_bpe"] and pipeline.ORACLE_SQL is None
