@@ -276,20 +276,73 @@ def test_exact_dedup(spark, prose, weak):
 # 5 and 7 ---------------------------------------------------------------------------------
 
 
+NOTICES = {
+    "mit": ["MIT License", "License: MIT", "Distributed under the terms of the MIT License (see LICENSE).", "This project is licensed under the MIT license, see the file for details.", "// SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"],
+    "apache-2.0": ["# SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");", "released under the Apache 2.0 license", "   Unless required by applicable law or agreed to in writing, software\n   distributed under the License is distributed on an \"AS IS\" BASIS,\n   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "gpl": ["licensed under the GPLv3", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or", "SPDX-License-Identifier: GPL-2.0-or-later", "Released under the GNU GPL, version 2.", "You should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."],
+    "lgpl": ["SPDX-License-Identifier: LGPL-2.1-or-later", "it under the terms of the GNU Lesser General Public License as published by", "The library is available under the LGPLv3."],
+    "agpl": ["GNU Affero General Public License for more details.", "This server is free software under the AGPLv3"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "License: BSD-3-Clause", "The code has a simplified BSD license.", "Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"],
+    "eupl": ["Licensed under the EUPL 1.2", "Licensed under the EUPL, Version 1.2 or as soon they will be approved"],
+    "isc": ["License: ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"],
+    "epl-2.0": ["made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under CC-BY-4.0."],
+    "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike License;", "Photo: J. Doe, CC BY-SA 4.0 license"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This article is under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc0": ["To the extent possible under law, released into the public domain.", "License: CC0-1.0", "This is free and unencumbered software released into the public domain."],
+    "proprietary": ["(c) 2021 Acme Corp. All rights reserved.", "Proprietary and confidential.", "Unauthorized copying of this file, via any medium is strictly prohibited"],
+}
+
+
 def test_licences(spark):
+    plain = "An ordinary line, number {0}, that speaks of the sea and of the {0} ships at the shore. The general opinion in the city was free."
     rows = [(0, "Some text here.\nReleased under the MIT License.\nmore text follows"), (1, "Licensed under the Apache License, Version 2.0."), (2, "All rights reserved."), (3, "He renewed his driver license last week."), (4, None), (5, ""), (6, "no cue at all in this one")]
-    rows += [(7, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."), (8, "word " * 200 + ". Licensed under CC BY-SA 4.0. " + "word " * 100), (1, rows[1][1])]
+    rows += [(7, "This work is licensed under the GNU General Public License, version 3.\n\nLicensed under CC BY-NC 4.0."), (8, "word " * 200 + ". Licensed under CC BY-SA 4.0. " + "word " * 100), (1, rows[1][1])]
+    rows += [(100 + i, "\n".join(plain.format(i * 10 + j) for j in range(3))) for i in range(40)]
+    asked = [(f, x) for f, xs in NOTICES.items() for x in xs]
+    rows += [(1000 + k, plain.format(k) + "\n" + x + "\n" + plain.format(k + 1)) for k, (_, x) in enumerate(asked)]
+    other = ["The bank holds a banking license and the copyright of its name.", "Permission was granted by the general assembly.", "The domain of the public library is reserved for members.", "Apache helicopters were distributed to the army.", "Licensed under the Foobar Community Terms, version 7."]
+    rows += [(2000 + k, plain.format(k) + "\n" + x) for k, x in enumerate(other)]
     got = defaultdict(list)
-    for r in licences.digest(licences.scan(docs_of(spark, rows))).collect():
-        got[r.doc_id].append(r.licences)
-    assert dict(got) == {0: ["mit"], 1: ["apache-2.0"] * 2, 2: ["proprietary"], 3: [""], 4: [""], 5: [""], 6: [""], 7: ["cc-by-nc,gpl"], 8: ["cc-by-sa"]}
-    unknown = {r.doc_id: r.n_unknown for r in licences.scan(docs_of(spark, rows)).collect()}
-    assert unknown[3] == 1 and unknown[0] == 0
-
-
-def test_every_template_has_a_cue():
-    for phrases in licences.TEMPLATES.values():
-        assert all(any(c in t for c in licences.CUES) for t in phrases if "you may obtain" not in t) and all(len(t.split()) > 1 for t in phrases)
+    scan = licences.scan(docs_of(spark, rows))
+    found = scan.collect()
+    for r in found:
+        got[r.doc_id].append(",".join(r.licences))
+    assert {k: v for k, v in got.items() if k < 100} == {0: ["mit"], 1: ["apache-2.0"] * 2, 2: ["proprietary"], 3: [""], 4: [""], 5: [""], 6: [""], 7: ["cc-by-nc,gpl"], 8: ["cc-by-sa"]}
+    unknown = {r.doc_id: (r.n_paragraphs, r.n_unknown) for r in found}
+    assert unknown[3] == (1, 1) and unknown[0] == (1, 0) and unknown[7] == (2, 0) and unknown[6] == (0, 0)
+    missed = [(x, f, got[1000 + k]) for k, (f, x) in enumerate(asked) if got[1000 + k] != [f]]
+    assert len(missed) <= 0.1 * len(asked), missed
+    assert not [got[2000 + k] for k in range(len(other)) if got[2000 + k] != [""]]
+    assert not [k for k, v in got.items() if 100 <= k < 1000 and v != [""]]
+    assert licences.digest(licences.scan(docs_of(spark, []))).count() == 0
+
+
+def test_licence_scores(spark):
+    """The distributed scorer against plain arithmetic with the same weights."""
+    docs = docs_of(spark, [(i, f"plain words number {i} are here for the background") for i in range(30)])
+    model = licences.train(docs)
+    texts = ["licensed under the mit license", "the driver license of the year", "nothing known qqq", ""]
+    table = licences.inlined(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram:string,w:array<double>")
+    got = {r.piece: (r.family, r.probability) for r in licences.scored(spark.createDataFrame([(t,) for t in texts], "piece string"), model, table).collect()}
+    for t in texts:
+        words = re.findall(licences._WORD, t)
+        z = np.array(model["intercepts"])
+        for g in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}:
+            z = z + np.array(model["weights"].get(g, [0.0] * len(z)))
+        p = np.exp(z / model["temperature"] - (z / model["temperature"]).max())
+        assert got[t][0] == model["names"][int(z.argmax())] and abs(got[t][1] - p.max() / p.sum()) < 1e-9
+    assert got[texts[0]][0] == "mit" and 0.3 <= model["sure"] <= 0.9
+
+
+def test_every_template_can_be_confirmed():
+    """It has a pair that no other family has, and one with a stem: so no text without a stem is confirmed."""
+    own = licences.own_pairs()
+    for family, phrases in licences.TEMPLATES.items():
+        for t in phrases:
+            pairs = licences.template_pairs(t)
+            assert licences.with_stem(pairs) and (set(pairs) & set(own[family]) or t in licences.NOTICES[family]), t
 
 
 def test_preferences(spark):
