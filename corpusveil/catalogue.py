@@ -7,16 +7,19 @@ an address, all computed from the key in SQL that both engines read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import SanitizeConfig
+from .config import SanitizeConfig, lenient_config, parse_entities
 from .functions import checksum, expr, fixed
 from .operators import access, detect, limiter, merge, redact, report, spans, visual
 from .plans.engine import Engine, register_views
-from .sources import formats, html, parsers, tabular
+from .sources import formats, html, parsers, providers, samples, tabular
+from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -150,7 +153,20 @@ pattern_query("q_person_structured", fixed.PERSON_STRUCTURED, "'APELLIDOS' || ch
 pattern_query("q_dob_raw", fixed.DATE, "'El ' || born || ' y el ' || replace(born, '/', '-')")
 
 
-@query(found_sql("documents", "doc_id", fixed.PERSON_INVERTED))
+def _plain(text: str) -> str:
+    r"""The text for a pattern engine whose \b and \s know ASCII only, at the same length: accented
+    letters of the pattern bare, all other letters, marks and digits as 0, all blanks as one."""
+    bare = f"translate({text}, 'ÁÉÍÓÚÑáéíóúñ', 'AEIOUNaeioun')"
+    blank = rf"regexp_replace({bare}, '[\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g')"
+    # RE2 has no intersection of classes: ASCII goes through both replacements unharmed.
+    return rf"regexp_replace({blank}, '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{M}}]|[^\x00-\x7F\P{{N}}]', '0', 'g')"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, text AS raw, {_plain('text')} AS text FROM documents), f AS ("
+    + found_sql("d", "doc_id, raw", fixed.PERSON_INVERTED.replace("ÁÉÍÓÚÑ", "").replace("áéíóúñ", ""))
+    + ') SELECT doc_id, start, "end", substr(raw, start + 1, "end" - start) AS text FROM f'
+)
 def q_person_inverted(spark, sf_dir):
     return found(table(spark, sf_dir, "documents"), "doc_id", fixed.PERSON_INVERTED)
 
@@ -356,12 +372,11 @@ def _files(df: DataFrame, mime: str, content) -> DataFrame:
     return df.withColumn("mime", F.lit(mime)).withColumn("content", content.cast("binary"))
 
 
-@query("SELECT n_nationkey AS k, '1: ' || n_name || chr(10) || 'key: ' || n_nationkey || chr(10) AS text FROM nation")
+@query("SELECT n_nationkey AS k, 'key: ' || n_nationkey || chr(10) || '1: ' || n_name || chr(10) AS text FROM nation")
 def q_csv_bytes(spark, sf_dir):
     """A file with a quoted line break, an unnamed and an empty column, read by the parser."""
     body = F.concat(F.lit('key,,"re\ngion"\n"'), F.col("n_nationkey").cast("string"), F.lit('","'), F.col("n_name"), F.lit('",\n'))
-    text = parsers.extract(_files(table(spark, sf_dir, "nation"), "text/csv", body)).select(F.col("n_nationkey").alias("k"), "text")
-    return text.select("k", F.array_join(F.reverse(F.slice(F.split("text", "\n"), 1, 2)), "\n").alias("t")).select("k", F.concat("t", F.lit("\n")).alias("text"))
+    return parsers.extract(_files(table(spark, sf_dir, "nation"), "text/csv", body)).select(F.col("n_nationkey").alias("k"), "text")
 
 
 @query("SELECT c_custkey AS k, 'name: ' || c_name || chr(10) || 'tags.0: ' || c_mktsegment || chr(10) || 'inner.deep.x: ' || chr(10) AS text FROM customer")
@@ -397,13 +412,114 @@ def q_html_bytes(spark, sf_dir):
     return parsers.extract(_files(table(spark, sf_dir, "pages"), "text/html", F.col("html"))).select("page_id", "text")
 
 
-@query("SELECT page_id, replace(replace(html, 'the ', '[EMAIL] '), 'x', 'x') AS html FROM pages WHERE false")
-def q_html_redact_untouched(spark, sf_dir):
-    """Rows whose markup changes when text nodes are redacted: none."""
+_MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
+_SWAPPED = r"""CASE WHEN regexp_matches(g, '(?is)^(<(script|style)\b|<!--)') THEN
+    regexp_extract(g, '(?is)^(<(?:script|style)\b[^>]*>|<!--)', 1) || replace(substr(g, length(regexp_extract(g, '(?is)^(<(?:script|style)\b[^>]*>|<!--)', 1)) + 1), 'the', '[EMAIL]') ELSE g END"""
+
+
+@query(f"""WITH p AS (SELECT page_id, string_split_regex(html, '{_MARKUP}') AS texts, regexp_extract_all(html, '{_MARKUP}') AS tags FROM pages)
+  SELECT page_id, array_to_string(list_transform(range(1, len(texts) + 1), lambda i: replace(texts[i], 'the', '[EMAIL]') || coalesce(list_transform([tags[i]], lambda g: {_SWAPPED})[1], '')), '') AS html FROM p""")
+def q_html_redact(spark, sf_dir):
+    """Whole pages: texts, comments and scripts change, tags do not."""
     found = F.array(F.struct(F.lit("EMAIL").alias("entity_type"), F.lit("the").alias("original_text")))
-    made = table(spark, sf_dir, "pages").withColumn("out", html.redact_html(F.col("html"), found, lambda e, t: redact.replacement(e, t, "placeholder")))
-    tags = lambda c: F.regexp_extract_all(c, F.lit(r"(?is)<script\b.*?</script>|<[^>]*>"), F.lit(0))
-    return made.filter(tags(F.col("out")) != tags(F.col("html"))).select("page_id", F.col("out").alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", html.redact_html(F.col("html"), found, lambda e, t: redact.replacement(e, t, "placeholder")).alias("html"))
+
+
+# --- office files ---------------------------------------------------------------------------
+
+#: Texts without what XML cannot hold, in both dialects.
+XML_TEXT = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g')"
+LINES = f"WITH d AS (SELECT doc_id, string_split({XML_TEXT}, chr(10)) AS lines FROM documents)"
+
+
+def _built(spark, sf_dir, mime: str, make) -> DataFrame:
+    """One office file per document, of its lines."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0b-\\x1f]", " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("_text"), F.lit(mime).alias("mime"))
+    return parsers._with(docs, pa.schema([("content", pa.binary())]), lambda t: (make(t.split("\n")),), ("_text",)).drop("_text")
+
+
+def _rows(lines: list[str]) -> list[list]:
+    return [["line", "chars"], *([x, len(x)] for x in lines)]
+
+
+def _wide(lines: list[str]) -> list[list]:
+    """Columns beyond 2,000 repeats of a header and of an empty cell, and a repeated value."""
+    return [[("k", 2000), ("v", 1), ("w", 2)], *([("", 2000), (x, 1), ("z", 2)] for x in lines)]
+
+
+MAKERS = {parsers.DOCX: samples.docx, parsers.ODT: lambda x: samples.odt(x, "the cell of the table"), parsers.XLSX: lambda x: samples.xlsx(_rows(x)), parsers.ODS: lambda x: samples.ods(_wide(x))}
+
+
+def _office_query(name: str, mime: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return parsers.extract(_built(spark, sf_dir, mime, MAKERS[mime])).select("doc_id", "text", "error")
+
+    run.__name__ = name
+    query(f"{LINES} SELECT doc_id, {sql} AS text, NULL::VARCHAR AS error FROM d")(run)
+
+
+_FILLED = "list_filter(lines, lambda x: x <> '')"
+_office_query("q_docx_text", parsers.DOCX, f"array_to_string({_FILLED}, chr(10))")
+_office_query("q_odt_text", parsers.ODT, f"array_to_string(list_concat({_FILLED}, ['the cell of the table', 'the cell of the table']), chr(10))")
+_office_query("q_xlsx_text", parsers.XLSX, "'--- Sheet: S ---' || chr(10) || array_to_string(list_transform(lines, lambda x: CASE WHEN x <> '' THEN 'line: ' || x || chr(10) ELSE '' END || 'chars: ' || length(x) || chr(10)), '')")
+_office_query("q_ods_text", parsers.ODS, "'--- Sheet: S ---' || chr(10) || array_to_string(list_transform(lines, lambda x: CASE WHEN x <> '' THEN 'v: ' || x || chr(10) ELSE '' END || 'w: z' || chr(10) || 'w: z' || chr(10)), '')")
+
+
+def _rewritten_query(name: str, mime: str, sql: str) -> None:
+    """Rewritten, and what the parser then reads."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = F.array(F.struct(F.lit("EMAIL").alias("entity_type"), F.lit("the").alias("original_text")))
+        made = parsers.sanitized(_built(spark, sf_dir, mime, MAKERS[mime]).withColumn("findings", found), "placeholder")
+        return parsers.extract(made.select("doc_id", "mime", F.col("sanitized").alias("content"), "sanitize_error")).select("doc_id", "text", F.coalesce("sanitize_error", "error").alias("error"))
+
+    run.__name__ = name
+    query(f"{LINES} SELECT doc_id, {sql} AS text, NULL::VARCHAR AS error FROM d")(run)
+
+
+_ALL = "replace({}, 'the', '[EMAIL]')"
+_rewritten_query("q_docx_rewrite", parsers.DOCX, f"array_to_string(list_transform({_FILLED}, lambda x: {_ALL.format('x')}), chr(10))")
+_rewritten_query("q_odt_rewrite", parsers.ODT, f"array_to_string(list_concat(list_transform({_FILLED}, lambda x: regexp_replace(x, 'the', '[EMAIL]')), ['[EMAIL] cell of [EMAIL] table', '[EMAIL] cell of [EMAIL] table']), chr(10))")
+_rewritten_query("q_xlsx_rewrite", parsers.XLSX, f"'--- Sheet: S ---' || chr(10) || array_to_string(list_transform(lines, lambda x: CASE WHEN x <> '' THEN 'line: ' || {_ALL.format('x')} || chr(10) ELSE '' END || 'chars: ' || length(x) || chr(10)), '')")
+_rewritten_query("q_ods_rewrite", parsers.ODS, f"'--- Sheet: S ---' || chr(10) || array_to_string(list_transform(lines, lambda x: CASE WHEN x <> '' THEN 'v: ' || {_ALL.format('x')} || chr(10) ELSE '' END || 'w: z' || chr(10) || 'w: z' || chr(10)), '')")
+
+
+def _rtf(text: Column) -> Column:
+    """The text as RTF with a font table, and an emoji as two halves."""
+    for a, b in (("\\", "\\\\"), ("{", "\\{"), ("}", "\\}"), ("\n", "\\par ")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}\\uc1 "), text, F.lit(" \\u-10179?\\u-8704?}"))
+
+
+@query("SELECT doc_id, replace(coalesce(text, ''), chr(13), '') || ' 😀' AS text, NULL::VARCHAR AS error FROM documents")
+def q_rtf_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    return parsers.extract(_files(docs, "application/rtf", _rtf(F.col("_text")))).select("doc_id", "text", "error")
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'a@b.es and [EMAIL] of ' ELSE 'a@b.es and a@b.es of ' END || c_name || ' 😀' AS text FROM customer")
+def q_rtf_rewrite(spark, sf_dir):
+    """Plain text, with the last occurrence of a finding replaced, or without findings."""
+    found = F.array(F.struct(F.lit("EMAIL").alias("entity_type"), F.lit("a@b.es").alias("original_text")))
+    files = _files(table(spark, sf_dir, "customer"), "text/rtf", _rtf(F.concat(F.lit("a@b.es and a@b.es of "), F.col("c_name"))))
+    made = parsers.sanitized(files.withColumn("findings", F.when(F.col("c_custkey") % 2 == 0, found).otherwise(F.array())), "placeholder")
+    return made.select(F.col("c_custkey").alias("k"), F.col("sanitized").cast("string").alias("text"))
+
+
+@query("SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'cut' WHEN 1 THEN 'damaged' WHEN 2 THEN 'encrypted' WHEN 3 THEN 'empty' WHEN 4 THEN 'half' ELSE 'good' END AS kind, p_partkey % 6 < 4 AS failed, CASE p_partkey % 6 WHEN 4 THEN 'a: �' || chr(10) WHEN 5 THEN p_name END AS text FROM part")
+def q_unreadable_files(spark, sf_dir):
+    """Broken files give an error in their own row and stop no other."""
+
+    def spoilt(k: int, name: str) -> tuple[bytes]:
+        good = samples.docx([name])
+        at = good.find(b"document.xml") + 20
+        return ((good[: len(good) // 2], good[:at] + b"\xff" * 20 + good[at + 20 :], samples.encrypted(good), b"", b'{"a": "\\ud83d"}', good)[k % 6],)
+
+    kinds = F.array(*map(F.lit, ("cut", "damaged", "encrypted", "empty", "half", "good")))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("kind"))
+    files = parsers._with(parts, pa.schema([("content", pa.binary())]), spoilt, ("k", "p_name")).withColumn("mime", F.when(F.col("kind") == "half", "application/json").otherwise(parsers.DOCX))
+    return parsers.extract(files).select("k", "kind", F.col("error").isNotNull().alias("failed"), "text")
 
 
 NAMES = "CASE p_partkey % 6 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.jpeg' WHEN 2 THEN 'c.md' WHEN 3 THEN 'd.xlsx' WHEN 4 THEN 'e.exe' ELSE 'noext' END"
@@ -466,11 +582,11 @@ def q_file_pipeline(spark, sf_dir):
 
 def _words(spark, sf_dir) -> DataFrame:
     """Words of the conversations' turns with boxes from their numbers."""
-    each = table(spark, sf_dir, "conversations").filter("turn <= 1").select((F.col("conv_id") * 2 + F.col("turn")).alias("doc_id"), F.posexplode(F.split("text", "[ \n]")).alias("seq", "text"))
+    each = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), F.posexplode(F.split("text", "[ \n]")).alias("seq", "text"))
     return each.select("doc_id", "seq", F.floor(F.col("seq") / 10).alias("block"), F.floor(F.col("seq") / 5).alias("line"), F.when(F.col("seq") % 7 == 3, -1).otherwise(90).alias("conf"), "text", (F.col("seq") % 5 * 10).alias("left"), (F.floor(F.col("seq") / 5) * 12).alias("top"), F.lit(9).alias("width"), F.lit(11).alias("height"))
 
 
-WORDS_SQL = r"""WITH w AS (SELECT conv_id * 2 + turn AS doc_id, unnest(range(0, len(a))) AS seq, unnest(a) AS text FROM (SELECT *, string_split_regex(text, '[ \n]') AS a FROM conversations WHERE turn <= 1)),
+WORDS_SQL = r"""WITH w AS (SELECT conv_id || '/' || turn AS doc_id, unnest(range(0, len(a))) AS seq, unnest(a) AS text FROM (SELECT *, string_split_regex(text, '[ \n]') AS a FROM conversations)),
   v AS (SELECT *, seq // 10 AS block, seq // 5 AS line FROM w WHERE seq % 7 <> 3 AND trim(text) <> ''),
   s AS (SELECT *, CASE WHEN lag(block) OVER x IS NULL THEN '' WHEN lag(block) OVER x <> block THEN chr(10) || chr(10) WHEN lag(line) OVER x <> line THEN chr(10) ELSE ' ' END AS sep FROM v WINDOW x AS (PARTITION BY doc_id ORDER BY seq)),
   o AS (SELECT *, CAST(sum(length(sep) + length(text)) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS e FROM s)"""
@@ -571,10 +687,11 @@ def q_summary(spark, sf_dir):
     return report.summary(_detected(spark, sf_dir), "k")
 
 
-@query(COUNTED + " SELECT k, count(*) AS total_findings, 'standard' AS level_applied, count(*) FILTER (WHERE entity_type = 'IBAN') AS ibans FROM f GROUP BY k")
+@query(COUNTED + " SELECT k, CAST(sum(n) AS BIGINT) AS total_findings, 'standard' AS level_applied, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS by_type FROM (SELECT k, entity_type, count(*) AS n FROM f GROUP BY ALL) GROUP BY k")
 def q_summary_struct(spark, sf_dir):
     made = Engine().detect(corpus(spark, sf_dir)).select("k", report.summary_of(F.col("findings"), "standard").alias("s"))
-    return made.select("k", F.col("s.total_findings").cast("long").alias("total_findings"), "s.level_applied", F.element_at("s.by_type", "IBAN").cast("long").alias("ibans"))
+    spelt = F.array_join(F.transform(F.array_sort(F.map_keys("s.by_type")), lambda t: F.concat(t, F.lit("="), F.element_at("s.by_type", t).cast("string"))), ",")
+    return made.select("k", F.col("s.total_findings").cast("long").alias("total_findings"), "s.level_applied", spelt.alias("by_type"))
 
 
 @query("SELECT c_custkey AS k, c_custkey % 3 = 0 AS has_pii FROM customer")
@@ -686,3 +803,120 @@ def q_findings_rollup(spark, sf_dir):
 def q_sql_views(spark, sf_dir):
     register_views(corpus(spark, sf_dir), key="k")
     return spark.sql("SELECT s.entity_type, sum(s.n) AS findings, count(DISTINCT f.k) AS docs FROM pii_summary s JOIN (SELECT DISTINCT k, entity_type FROM pii_findings) f ON s.k = f.k AND s.entity_type = f.entity_type GROUP BY s.entity_type")
+
+
+# --- the rest of the request path ------------------------------------------------------------
+
+
+@query(CORPUS + " SELECT k, CASE k % 3 WHEN 2 THEN 1 ELSE 0 END AS n FROM t")
+def q_blank_texts(spark, sf_dir):
+    """Null and blank texts have no findings."""
+    docs = corpus(spark, sf_dir, "CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE 'escribe a ' || email END")
+    return Engine().detect(docs).select("k", F.coalesce(F.size("findings"), F.lit(0)).alias("n"))
+
+
+@query(CORPUS + ", w AS (SELECT k, [" + ", ".join(f"'{w}'" for w in fixed.CONTEXT["PERSON"]) + f"][k // 2 % {len(fixed.CONTEXT['PERSON'])} + 1] AS word FROM t) SELECT k, word, CAST(CASE WHEN k % 2 = 0 THEN 1.0 ELSE 0.7 END AS DOUBLE) AS score FROM w WHERE k % 4 <> 2")
+def q_person_context(spark, sf_dir):
+    """A context word right before a name raises its score; without one it stays."""
+    words = F.array(*map(F.lit, fixed.CONTEXT["PERSON"]))
+    docs = corpus(spark, sf_dir).select("k", "name", F.get(words, (F.floor(F.col("k") / 2) % len(fixed.CONTEXT["PERSON"])).cast("int")).alias("word"))
+    docs = docs.withColumn("text", F.concat(F.when(F.col("k") % 2 == 0, F.concat("word", F.lit(": "))).otherwise("hoy: "), "name", F.lit(";")))
+    each = Engine().detect(docs).select("k", "word", F.explode("findings").alias("f"))
+    return each.select("k", "word", "f.score")
+
+
+class _Names:
+    """A stand-in model: finds the customer's name, but fails on every fifth text."""
+
+    def predict(self, documents: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+        one = F.array(F.struct(F.lit("person").alias("label"), F.lit("Customer").alias("text"), F.lit(0.913).alias("score")))
+        return documents.withColumn("predictions", F.when(F.col("k") % 5 != 0, one))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN '[PERSON_NAME]' ELSE 'Customer' END || ' writes from [EMAIL]' AS sanitized, CASE WHEN c_custkey % 5 <> 0 THEN 2 ELSE 1 END AS total, true AS has_pii FROM customer")
+def q_layer_pipeline(spark, sf_dir):
+    """Findings of a registered model are redacted and counted like the patterns' own."""
+    docs = corpus(spark, sf_dir, "'Customer writes from ' || email")
+    providers.register("ner", _Names())
+    try:
+        engine = Engine(SanitizeConfig(style="placeholder"))
+        made = engine.sanitize(docs, key="k").select("k", "sanitized", F.col("summary.total_findings").alias("total"))
+        return made.join(engine.check_pii(docs, key="k").select("k", "has_pii"), "k")
+    finally:
+        providers.unregister("ner")
+
+
+@query("SELECT c_custkey AS k, true AS without_text, 1 AS total, 'f' || c_custkey || '_sanitized.txt' AS output_filename FROM customer")
+def q_json_response(spark, sf_dir):
+    """The json response carries the findings and no redacted text."""
+    docs = corpus(spark, sf_dir, "'escribe a ' || email").withColumn("filename", F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".txt")))
+    made = Engine(SanitizeConfig(response="json")).sanitize(docs, key="k")
+    return made.select("k", F.col("sanitized").isNull().alias("without_text"), F.col("summary.total_findings").alias("total"), "output_filename")
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '{"filename":"f.exe","status":"error","error":"Unsupported file format"}'
+  ELSE '{"filename":"f.txt","status":"success","file":"' || to_base64(encode('mail [EMAIL]')) || '"}' END AS response FROM customer""")
+def q_full_response(spark, sf_dir):
+    k = F.col("c_custkey")
+    body = F.concat(F.lit("mail user"), k.cast("string"), F.lit("@example.com")).cast("binary")
+    files = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 3 == 0, "f.exe").otherwise("f.txt").alias("filename"), body.alias("content"))
+    engine = Engine(SanitizeConfig(style="placeholder"))
+    return engine.full_response(engine.sanitize_files(files)).select(F.col("doc_id").alias("k"), "response")
+
+
+@query("""SELECT c_custkey AS k, true AS timed, '{"level":"INFO","message":"' || c_name || '"' || CASE WHEN c_custkey % 2 = 0 THEN ',"status":' || c_custkey ELSE '' END || '}' AS line FROM customer""")
+def q_log_line(spark, sf_dir):
+    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), report.log_line(F.lit("INFO"), F.col("c_name"), status=F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey"))).alias("line"))
+    stamp = r'"timestamp":"\d{4}-\d\d-\d\dT[0-9:.]+(?:Z|[+-]\d\d:\d\d)",'
+    return made.select("k", F.col("line").rlike(stamp).alias("timed"), F.regexp_replace("line", stamp, "").alias("line"))
+
+
+@query("SELECT 'region.parquet' AS filename, true AS filled UNION ALL SELECT 'nation.parquet', true")
+def q_path_source(spark, sf_dir):
+    made = formats.read_files(spark, sf_dir, max_size=10_000_000, pattern="{region,nation}.parquet")
+    return made.select("filename", (F.length("content") == F.col("length")).alias("filled"))
+
+
+@query("""SELECT * FROM (VALUES ('', false, 'all'), ('', true, 'all'), (' EMAIL , IBAN,', false, 'EMAIL|IBAN'), ('EMAIL,NOPE', false, 'error'), ('EMAIL,NOPE', true, 'all'), ('level=loud', false, 'error'), ('level=loud', true, 'standard'), ('level=strict', true, 'strict'))
+  v(value, lenient, reading)""")
+def q_config_reading(spark, sf_dir):
+    """Entity lists and levels as the strict and the lenient interface read them."""
+
+    def reading(value: str, lenient: bool) -> str:
+        try:
+            if value.startswith("level="):
+                return (lenient_config(level=value[6:]) if lenient else SanitizeConfig(level=value[6:])).level
+            return "|".join(parse_entities(value, lenient) or ("all",))
+        except ValueError:
+            return "error"
+
+    cases = [(v, n) for v, ns in (("", (False, True)), (" EMAIL , IBAN,", (False,)), ("EMAIL,NOPE", (False, True)), ("level=loud", (False, True)), ("level=strict", (True,))) for n in ns]
+    rows = [F.struct(F.lit(v).alias("value"), F.lit(n).alias("lenient"), F.lit(reading(v, n)).alias("reading")) for v, n in cases]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def _streamed(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream over the files there are has written when it ends."""
+    name = f"streamed_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as audit entries that arrive as files."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # In microseconds since the epoch, so that no time zone plays a part.
+    at = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    return events.select(at.alias("timestamp"), F.when(F.col("event_id") % 7 == 0, "error").otherwise("success").alias("status"), (F.col("event_id") % 97).alias("processing_time_ms"))
+
+
+@query("SELECT count(*) AS requests_total, count(*) FILTER (WHERE event_id % 7 <> 0) AS requests_success, count(*) FILTER (WHERE event_id % 7 = 0) AS requests_failed, CAST(round_even(sum(event_id % 97) / count(*), 0) AS BIGINT) AS avg_processing_time_ms FROM events")
+def q_running_metrics(spark, sf_dir):
+    return _streamed(jobs.running_metrics(_event_stream(spark, sf_dir)), "complete")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS requests, count(*) FILTER (WHERE event_id % 7 = 0) AS failed FROM events GROUP BY ALL")
+def q_windowed_metrics(spark, sf_dir):
+    made = _streamed(jobs.windowed_metrics(_event_stream(spark, sf_dir), "10 minutes", "1 day"), "complete")
+    return made.select(F.unix_micros("window.start").alias("start_us"), "requests", "failed")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SanitizeConfig
@@ -13,6 +15,11 @@ from ..sources import formats, parsers, providers
 TEXT_MIMES = ("text/plain", "text/markdown")
 
 
+def final_findings(found: DataFrame) -> Column:
+    """The merged findings where a named-entity layer has run, else the patterns' own."""
+    return F.col("merged") if "merged" in found.columns else F.col("findings")
+
+
 class Engine:
     """All methods only build plans; nothing runs until a result is read or written."""
 
@@ -30,19 +37,22 @@ class Engine:
 
     def sanitize(self, docs: DataFrame, text_col: str = "text", key: str = "doc_id", fast: bool = False) -> DataFrame:
         """docs plus findings, sanitized (null for the json response), summary, output_filename
-        where there is a filename. fast cuts by offset instead of by repeated search."""
+        where there is a filename. fast cuts by offset instead of by repeated search (merged
+        findings have no offsets and are searched)."""
         found = self.detect(docs, text_col)
-        chosen = F.filter("findings", lambda f: redact.is_redacted(f.entity_type, self.cfg.redact_entities))
-        clean = (redact.redact_offsets if fast else redact.redact_text)(F.col(text_col), chosen, self.cfg.style)
+        used = final_findings(found)
+        chosen = F.filter(used, lambda f: redact.is_redacted(f.entity_type, self.cfg.redact_entities))
+        clean = (redact.redact_offsets if fast and "merged" not in found.columns else redact.redact_text)(F.col(text_col), chosen, self.cfg.style)
         if self.cfg.response == "json":
             clean = F.lit(None).cast("string")
-        out = found.withColumns({"sanitized": clean, "summary": report.summary_of(F.col("findings"), self.cfg.level)})
+        out = found.withColumns({"sanitized": clean, "summary": report.summary_of(used, self.cfg.level)})
         return out.withColumn("output_filename", redact.output_filename(F.col("filename"))) if "filename" in docs.columns else out
 
     def check_pii(self, docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
         """key, has_pii, total_findings at the strict level."""
-        found = detect.with_findings(docs, SanitizeConfig(level="strict"), text_col)
-        return found.select(key, report.has_pii(F.col("findings")).alias("has_pii"), F.size("findings").alias("total_findings"))
+        found = Engine(replace(self.cfg, level="strict")).detect(docs, text_col)
+        used = final_findings(found)
+        return found.select(key, report.has_pii(used).alias("has_pii"), F.size(used).alias("total_findings"))
 
     # files ---------------------------------------------------------------------------------
 
@@ -61,8 +71,8 @@ class Engine:
 
     def sanitize_files(self, files: DataFrame) -> DataFrame:
         """extract, detect, rewrite: files plus findings, sanitized (binary), output_filename, status."""
-        found = detect.with_findings(self.extract(files), self.cfg)
-        chosen = F.filter("findings", lambda f: redact.is_redacted(f.entity_type, self.cfg.redact_entities))
+        found = self.detect(self.extract(files))
+        chosen = F.filter(final_findings(found), lambda f: redact.is_redacted(f.entity_type, self.cfg.redact_entities))
         ready = found.withColumn("_all", F.col("findings")).withColumn("findings", chosen)
         good = parsers.sanitized(ready.filter(F.col("error").isNull()), self.cfg.style)
         bad = ready.filter(F.col("error").isNotNull()).withColumns({"sanitized": F.lit(None).cast("binary"), "sanitize_error": F.lit(None).cast("string")})

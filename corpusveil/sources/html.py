@@ -24,10 +24,16 @@ def html_text(html: Column) -> Column:
 
 
 def redact_html(html: Column, findings: Column, replace: object) -> Column:
-    """Every occurrence of each finding replaced in text nodes only; tags, attributes, comments,
-    script and style stay as they are. replace(type, text) gives the replacement column."""
+    """Every occurrence of each finding replaced in text nodes, comments, and the bodies of script
+    and style; tags and attributes stay as they are. replace(type, text) gives the replacement column."""
     pattern = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
     texts, tags = F.split(html, pattern, -1), F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     usable = F.filter(findings, lambda f: F.coalesce(F.length(f.original_text) > 0, F.lit(False)))
-    clean = F.transform(texts, lambda t: F.aggregate(usable, t, lambda a, f: F.replace(a, f.original_text, replace(f.entity_type, f.original_text))))
-    return F.array_join(F.transform(F.arrays_zip(clean.alias("t"), tags.alias("g")), lambda p: F.concat(p.t, F.coalesce(p.g, F.lit("")))), "")
+    clean = lambda t: F.aggregate(usable, t, lambda a, f: F.replace(a, f.original_text, replace(f.entity_type, f.original_text)))
+
+    def markup(tag: Column) -> Column:
+        """A tag as it is; of what holds a text, all but its opening and closing mark cleaned."""
+        part = lambda n: F.regexp_extract(tag, r"(?is)^(<(?:script|style)\b[^>]*>|<!--)(.*?)(</(?:script|style)\s*>|-->)$", n)
+        return F.when(part(3) != "", F.concat(part(1), clean(part(2)), part(3))).otherwise(tag)
+
+    return F.array_join(F.transform(F.arrays_zip(F.transform(texts, clean).alias("t"), F.transform(tags, markup).alias("g")), lambda p: F.concat(p.t, F.coalesce(p.g, F.lit("")))), "")

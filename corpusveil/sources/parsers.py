@@ -11,7 +11,9 @@ import csv
 import io
 import json
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
@@ -36,13 +38,19 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
-MOST_REPEATS = 1024
+#: Repeats of a filled cell beyond this make a file unreadable; no sheet is that wide.
+UNLIKELY = 1 << 20
 
 
 def utf8(content: bytes) -> str:
     return content.decode("utf-8", "replace")
 
 
+def paired(text: str) -> str:
+    """Halves of surrogate pairs joined; a half that is alone becomes U+FFFD."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 # --- tables -------------------------------------------------------------------------------
 
 
@@ -163,15 +171,18 @@ def ods_text(content: bytes) -> tuple[str, int]:
     for sheet in sheets:
         rows = []
         for row in sheet.iter(f"{TABLE}table-row"):
-            values: list[str | None] = []
+            values, at = {}, 0
             for cell in row:
                 if cell.tag.startswith(TABLE) and cell.tag.endswith("table-cell"):
-                    value = "".join(_own_text(p) for p in cell.findall(f"{TEXT}p"))
-                    values += [value] * min(int(cell.get(f"{TABLE}number-columns-repeated", 1)), MOST_REPEATS)
+                    value, times = "".join(_own_text(p) for p in cell.findall(f"{TEXT}p")), int(cell.get(f"{TABLE}number-columns-repeated", 1))
+                    if value and times > UNLIKELY:
+                        raise ValueError("File is corrupted or unreadable: too many repeated cells")
+                    # Empty runs, which may be as wide as the sheet, only move the place on.
+                    values |= dict.fromkeys(range(at, at + times), value) if value else {}
+                    at += times
             rows.append(values)
-        while rows and not any(rows[-1]):
-            rows.pop()
-        out.append(f"--- Sheet: {sheet.get(f'{TABLE}name')} ---\n" + lines_of(rows))
+        head = rows[0] if rows else {}
+        out.append(f"--- Sheet: {sheet.get(f'{TABLE}name')} ---\n" + "".join(f"{head.get(i) or i}: {v}\n" for row in rows[1:] for i, v in row.items()))
     return "".join(out), len(sheets)
 
 
@@ -218,11 +229,12 @@ def json_rewrite(content: bytes, swap: Swap) -> bytes:
             return [swap(v) if isinstance(v, str) else walk(v) for v in node]
         return node
 
-    return json.dumps(walk(json.loads(utf8(content))), indent=2, ensure_ascii=False).encode()
+    return json.dumps(walk(json.loads(utf8(content))), indent=2, ensure_ascii=False).encode("utf-8", "replace")
 
 
 class _Nodes(HTMLParser):
-    """Text nodes outside script and style; source() rebuilds the document around them."""
+    """Text nodes outside script and style; parts are the document with every text, hidden ones
+    and comments too, swapped."""
 
     def __init__(self, swap: Swap | None = None):
         super().__init__(convert_charrefs=True)
@@ -245,6 +257,8 @@ class _Nodes(HTMLParser):
             self.nodes[-1:] = [(self.nodes[-1] if self.nodes else "") + data]
             if self.swap:
                 data = self.swap(data).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        elif self.swap:
+            data = self.swap(data)  # not visible, but still in the file
         self.parts.append(data)
 
     def handle_comment(self, data):
@@ -360,7 +374,7 @@ def rtf_text(content: bytes) -> str:
         elif plain:
             out.append(plain[skip_next:])
             skip_next = 0
-    return "".join(out)
+    return paired("".join(out))
 
 
 # --- frames -------------------------------------------------------------------------------
@@ -381,12 +395,10 @@ def read_text(mime: str, content: bytes) -> tuple[str, int]:
 
 
 def rewrite(mime: str, content: bytes, found: list[tuple[str, str]], style: str) -> bytes:
-    """The file with its findings (type, text) replaced, by the rule of its format. A file
-    without findings comes back as it is."""
+    """The file with its findings (type, text) replaced, by the rule of its format. Also without
+    findings CSV and JSON are written anew and RTF becomes plain text; blank JSON and HTML stay."""
     found = [(e, t) for e, t in found if t]
     swaps = [(t, replacement(e, t, style)) for e, t in found]
-    if not swaps:
-        return content
 
     def swap(text: str) -> str:
         for old, new in swaps:
@@ -410,7 +422,7 @@ def rewrite(mime: str, content: bytes, found: list[tuple[str, str]], style: str)
     if mime in ("text/rtf", "application/rtf"):
         return lasts(rtf_text(content), False).encode()
     if mime == XLSX:
-        return xlsx_rewrite(content, swap, swaps[-1][1])
+        return xlsx_rewrite(content, swap, swaps[-1][1] if swaps else None)
     if mime == ODT:
         return odt_rewrite(content, firsts)
     one = {"text/csv": csv_rewrite, "application/json": json_rewrite, "text/html": html_rewrite, DOCX: docx_rewrite, ODS: ods_rewrite}
@@ -419,7 +431,8 @@ def rewrite(mime: str, content: bytes, found: list[tuple[str, str]], style: str)
     return one[mime](content, swap)
 
 
-UNREADABLE = (ValueError, KeyError, IndexError, AttributeError, TypeError, zipfile.BadZipFile, ET.ParseError, csv.Error, RecursionError)
+#: What damaged, encrypted or malformed files raise.
+UNREADABLE = (ValueError, LookupError, ArithmeticError, AttributeError, TypeError, RuntimeError, EOFError, struct.error, zlib.error, zipfile.BadZipFile, ET.ParseError, csv.Error)
 
 
 def _with(files: DataFrame, added: pa.Schema, one: Callable[..., tuple], needs: tuple[str, ...]) -> DataFrame:
@@ -443,9 +456,10 @@ def extract(files: DataFrame) -> DataFrame:
 
     def one(mime: str, content: bytes) -> tuple:
         try:
-            return (*read_text(mime, content), None)
+            text, pages = read_text(mime, content)
+            return paired(text), pages, None
         except UNREADABLE as e:
-            return None, None, str(e) or type(e).__name__
+            return None, None, paired(str(e)) or type(e).__name__
 
     return _with(files, pa.schema([("text", pa.string()), ("pages", pa.int32()), ("error", pa.string())]), one, ("mime", "content"))
 
@@ -457,6 +471,6 @@ def sanitized(files: DataFrame, style: str) -> DataFrame:
         try:
             return rewrite(mime, content, [(f["entity_type"], f["original_text"]) for f in findings or ()], style), None
         except UNREADABLE as e:
-            return None, str(e) or type(e).__name__
+            return None, paired(str(e)) or type(e).__name__
 
     return _with(files, pa.schema([("sanitized", pa.binary()), ("sanitize_error", pa.string())]), one, ("mime", "content", "findings"))

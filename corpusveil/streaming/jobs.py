@@ -12,8 +12,9 @@ from pyspark.sql.types import StructType
 
 from ..config import SanitizeConfig
 from ..functions.ship import ship
-from ..operators import detect, redact, report
+from ..operators import redact, report
 from ..operators.limiter import Limiter
+from ..plans.engine import Engine, final_findings
 
 
 def documents_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 100) -> DataFrame:
@@ -22,8 +23,8 @@ def documents_stream(spark: SparkSession, path: str, schema: StructType | str, f
 
 def sanitized_stream(stream: DataFrame, cfg: SanitizeConfig = SanitizeConfig(), text_col: str = "text") -> DataFrame:
     """Stateless: the batch expressions, row by row, so batch and stream agree."""
-    found = detect.with_findings(stream, cfg, text_col)
-    chosen = F.filter("findings", lambda f: redact.is_redacted(f.entity_type, cfg.redact_entities))
+    found = Engine(cfg).detect(stream, text_col)
+    chosen = F.filter(final_findings(found), lambda f: redact.is_redacted(f.entity_type, cfg.redact_entities))
     return found.withColumn("sanitized", redact.redact_text(F.col(text_col), chosen, cfg.style))
 
 
