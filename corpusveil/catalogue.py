@@ -10,15 +10,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import SanitizeConfig, lenient_config, parse_entities
 from .functions import checksum, expr, fixed
-from .operators import access, detect, limiter, merge, redact, report, spans, visual
+from .operators import access, detect, limiter, merge, pixels, redact, report, spans, visual
 from .plans.engine import Engine, register_views
-from .sources import formats, html, parsers, providers, samples, tabular
+from .sources import formats, html, parsers, png, providers, samples, tabular
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -639,7 +640,7 @@ COMPONENTS = "SELECT l_orderkey * 10 + l_linenumber AS k, CAST(l_partkey % 300 +
 
 
 @query(
-    f"""WITH c AS ({COMPONENTS}), d AS (SELECT *, width * height / (img_width * img_height) AS r, width / height AS a, area / (width * height) AS d FROM c)
+    f"""WITH c AS ({COMPONENTS}), d AS (SELECT *, area / (img_width * img_height) AS r, width / height AS a, area / (width * height) AS d FROM c)
     SELECT k, round(greatest(0.4, least(0.4 + 0.2 * (0.5 * (1 - least(abs(a - 3) / 3, 1.0)) + 0.5 * (1 - least(abs(d - 0.15) / 0.20, 1.0))), 0.6)), 2) AS score
     FROM d WHERE r BETWEEN 0.001 AND 0.15 AND a BETWEEN 1.5 AND 8.0 AND d BETWEEN 0.02 AND 0.35"""
 )
@@ -649,6 +650,41 @@ def q_signature_score(spark, sf_dir):
     return visual.signature_candidates(made).select("k", "score")
 
 
+def _pages_with_ink(spark, sf_dir) -> DataFrame:
+    """One PNG per part: a light page with two inked bars whose places and sizes follow the key."""
+
+    def page(k: int) -> tuple[bytes]:
+        image = np.full((200, 300, 1 + k % 4), 230, np.uint8)
+        image[20 : 20 + 8 + k % 5, 30 : 130 + k % 20, :3] = 40
+        image[100 : 103 + k % 3, 150 : 190 + k % 40, :3] = 20
+        return (png.encode(image) if k % 9 else b"no image",)
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    return parsers._with(parts, pa.schema([("content", pa.binary())]), page, ("k",))
+
+
+@query("""SELECT k, x0, y0, w, h, NULL::VARCHAR AS error FROM (
+    SELECT p_partkey AS k, 30.0::DOUBLE AS x0, 20.0::DOUBLE AS y0, CAST(100 + p_partkey % 20 AS DOUBLE) AS w, CAST(8 + p_partkey % 5 AS DOUBLE) AS h FROM part
+    UNION ALL SELECT p_partkey, 150.0, 100.0, CAST(40 + p_partkey % 40 AS DOUBLE), CAST(3 + p_partkey % 3 AS DOUBLE) FROM part) WHERE k % 9 <> 0
+  UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, 'Not a PNG image' FROM part WHERE p_partkey % 9 = 0""")
+def q_ink_components(spark, sf_dir):
+    """Boxes of inked components of real images; a file that is none gives an error row."""
+    made = pixels.ink_components(_pages_with_ink(spark, sf_dir), ("k",))
+    return made.select("k", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("width").alias("w"), F.col("height").alias("h"), "error")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'Not a PNG image' END AS error, CASE WHEN p_partkey % 9 <> 0 THEN 20 * 30 END AS black FROM part")
+def q_image_redact(spark, sf_dir):
+    """Boxes are filled in the image that comes out; counted by reading it again."""
+    box = F.array(F.struct(F.lit(200.0).alias("x0"), F.lit(150.0).alias("y0"), F.lit(230.0).alias("x1"), F.lit(170.0).alias("y1")))
+    made = pixels.blacked(_pages_with_ink(spark, sf_dir), box)
+
+    def black(content: bytes | None) -> tuple[int | None]:
+        return (int((png.grey(png.decode(content)) == 0).sum()) if content else None,)
+
+    return parsers._with(made, pa.schema([("black", pa.int32())]), black, ("sanitized",)).select("k", F.col("sanitize_error").alias("error"), "black")
+
+
 @query("""SELECT k, style, CASE WHEN page IS NULL OR page < 0 OR page >= 3 OR k % 11 = 0 THEN 'skip' WHEN style = 'placeholder' AND k % 2 = 1 THEN 'label' ELSE 'black' END AS pdf,
   CASE WHEN k % 11 = 0 THEN 'skip' WHEN style = 'blur' AND k % 20 >= 10 THEN 'blur' WHEN style = 'placeholder' AND k % 2 = 1 THEN 'label' ELSE 'black' END AS image,
   CASE WHEN k % 2 = 0 THEN greatest(0.3, least(CAST(k % 20 * 9 AS DOUBLE) / 60, 1.5)) ELSE greatest(0.3, least(CAST(k % 20 * 9 AS DOUBLE) / 75, 1.5)) END AS scale

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def signature_candidates(components: DataFrame) -> DataFrame:
     """components (left, top, width, height, area, img_width, img_height) that look like a
-    signature, with their score."""
+    signature, with their score. Bounds and weights are fixed values."""
     box = F.col("width") * F.col("height")
-    ratio, aspect, density = box / (F.col("img_width") * F.col("img_height")), F.col("width") / F.col("height"), F.col("area") / box
+    ratio, aspect, density = F.col("area") / (F.col("img_width") * F.col("img_height")), F.col("width") / F.col("height"), F.col("area") / box
     fits = (F.col("width") > 0) & (F.col("height") > 0) & ratio.between(0.001, 0.15) & aspect.between(1.5, 8.0) & density.between(0.02, 0.35)
     shape = 1 - F.least(F.abs(aspect - 3) / 3, F.lit(1.0))
     ink = 1 - F.least(F.abs(density - 0.15) / 0.20, F.lit(1.0))
