@@ -467,6 +467,23 @@ _office_query("q_xlsx_text", parsers.XLSX, "'--- Sheet: S ---' || chr(10) || arr
 _office_query("q_ods_text", parsers.ODS, "'--- Sheet: S ---' || chr(10) || array_to_string(list_transform(lines, lambda x: CASE WHEN x <> '' THEN 'v: ' || x || chr(10) ELSE '' END || 'w: z' || chr(10) || 'w: z' || chr(10)), '')")
 
 
+PDF_LINES = "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E\\n]', '?', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents)"
+
+
+@query(PDF_LINES + """ SELECT doc_id, CASE WHEN len(lines) = 0 THEN '' ELSE array_to_string(list_transform(lines, lambda x, i: x || CASE WHEN i = len(lines) OR i % 50 = 0 THEN chr(10) || chr(10) ELSE chr(10) END), '') END AS text,
+  CAST(greatest(1, ceil(len(lines) / 50)) AS INT) AS pages, NULL::VARCHAR AS error FROM l""")
+def q_pdf_text(spark, sf_dir):
+    """PDF files of fifty lines a page, every other one with an object stream."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E\\n]", "?"), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("_lines"), F.lit(parsers.PDF).alias("mime"))
+
+    def made(k: int, x: list[str]) -> tuple[bytes]:
+        return (samples.pdf([x[i : i + 50] for i in range(0, max(1, len(x)), 50)], k % 2 == 0),)
+
+    files = parsers._with(docs, pa.schema([("content", pa.binary())]), made, ("doc_id", "_lines"))
+    return parsers.extract(files.drop("_lines")).select("doc_id", "text", "pages", "error")
+
+
 def _rewritten_query(name: str, mime: str, sql: str) -> None:
     """Rewritten, and what the parser then reads."""
 

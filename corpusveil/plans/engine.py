@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SanitizeConfig
 from ..functions import fixed
-from ..operators import detect, merge, redact, report
+from ..operators import detect, merge, pixels, redact, report, visual
 from ..sources import formats, parsers, providers
 
 TEXT_MIMES = ("text/plain", "text/markdown")
@@ -80,6 +80,19 @@ class Engine:
         error = F.coalesce("error", "sanitize_error")
         return out.withColumns({"error": error, "status": F.when(error.isNull(), "success").otherwise("error"), "output_filename": redact.output_filename(F.col("filename"))}).drop("sanitize_error")
 
+    def visual(self, images: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """Signatures in PNG images, and faces where a provider finds them: keys, entity_type, box,
+        score. At the strict level only."""
+        found = pixels.signatures(images, self.cfg.level, keys)
+        if self.cfg.level == "strict" and providers.available("face"):
+            found = found.unionByName(visual.faces(providers.provider("face").regions(images)).select(*found.columns))
+        return found
+
+    def sanitize_images(self, images: DataFrame, key: str = "doc_id") -> DataFrame:
+        """images (key, content: PNG) plus findings (boxes) and sanitized (PNG, boxes filled)."""
+        boxes = self.visual(images, (key,)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x0", "y0", "x1", "y1", "entity_type", "score"))).alias("findings"))
+        return pixels.blacked(images.join(boxes, key, "left"), F.col("findings"))
+
     def full_response(self, results: DataFrame) -> DataFrame:
         """Results with the content as base64, and nulls left out of the JSON."""
         return results.select("doc_id", F.to_json(F.struct("filename", "status", "error", F.base64("sanitized").alias("file"))).alias("response"))

@@ -20,15 +20,18 @@ from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import fixed
 from ..functions.ship import ship
+from . import pdf
 
 Swap = Callable[[str], str]
 XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+PDF = "application/pdf"
 ODS, ODT = "application/vnd.oasis.opendocument.spreadsheet", "application/vnd.oasis.opendocument.text"
 
 #: XML namespaces of the office formats.
@@ -386,8 +389,8 @@ def replacement(entity_type: str, text: str, style: str) -> str:
 
 def read_text(mime: str, content: bytes) -> tuple[str, int]:
     """(text, pages); ValueError for a type without a parser here."""
-    if mime in (XLSX, ODS):
-        return (xlsx_text if mime == XLSX else ods_text)(content)
+    if mime in (XLSX, ODS, PDF):
+        return {XLSX: xlsx_text, ODS: ods_text, PDF: pdf.pdf_text}[mime](content)
     one = {"text/plain": utf8, "text/markdown": utf8, "text/csv": csv_text, "application/json": json_text, "text/html": html_text, DOCX: docx_text, ODT: odt_text, "text/rtf": rtf_text, "application/rtf": rtf_text}
     if mime not in one:
         raise ValueError(f"A provider is required for {mime} support")
@@ -464,6 +467,22 @@ def extract(files: DataFrame) -> DataFrame:
     return _with(files, pa.schema([("text", pa.string()), ("pages", pa.int32()), ("error", pa.string())]), one, ("mime", "content"))
 
 
+def pdf_spans(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Placed spans of PDF files (key, content): key, seq, sep, text, page, x0, y0, x1, y1. A file that
+    cannot be read has none; extract() tells why."""
+    kind = pa.list_(pa.struct([("sep", pa.string()), ("text", pa.string()), ("page", pa.int32()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))]))
+
+    def one(content: bytes) -> tuple:
+        try:
+            return ([{"sep": s.sep, "text": paired(s.text), "page": s.page, "x0": s.x0, "y0": s.y0, "x1": s.x1, "y1": s.y1} for s in pdf.spans(content)[0]],)
+        except UNREADABLE:
+            return ([],)
+
+    made = _with(files.select(key, "content"), pa.schema([("spans", kind)]), one, ("content",))
+    each = made.select(key, F.posexplode("spans").alias("seq", "s"))
+    return each.select(key, F.col("seq").cast("long").alias("seq"), "s.*")
+
+
 def sanitized(files: DataFrame, style: str) -> DataFrame:
     """files (mime, content, findings, ...) plus sanitized and sanitize_error."""
 
