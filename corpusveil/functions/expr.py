@@ -15,6 +15,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def folded(items: Column, at: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, part: int = 128) -> Column:
+    """Runs step(at, item) -> (next at, array of outputs) over the items in order and gives all
+    outputs as one array of `kind`. Long arrays go in two levels, since appending copies what is
+    there: n items cost n * part + (n / part) ** 2 copies instead of n ** 2."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def plain(some: Column, begin: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, more = step(a.at, x)
+            return F.struct(after.alias("at"), F.concat(a.out, more.cast(f"array<{kind}>")).alias("out"))
+
+        return F.aggregate(some, F.struct(begin.alias("at"), none.alias("out")), one)
+
+    def in_parts(every: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / part).cast("int")), lambda i: F.slice(every, i * part + 1, F.lit(part)))
+        start = F.struct(at.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        one = lambda a, some: let(plain(some, a.at), lambda r: F.struct(r.at.alias("at"), F.concat(a.outs, F.array(r.out)).alias("outs")))
+        return F.flatten(F.aggregate(cut, start, one, lambda a: a.outs))
+
+    return let(items, lambda x: F.when(F.size(x) <= part, plain(x, at).out).otherwise(in_parts(x)))
+
+
 def any_of(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -36,14 +58,13 @@ def find_all(text: Column, pattern: str) -> Column:
     def place(free: Column, found: Column) -> Column:
         gaps = F.split(F.regexp_replace(free, F.lit(pattern), F.lit(MARK)), MARK, -1)
         pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
 
-        def step(a: Column, p: Column) -> Column:
-            begin = a.at + F.length(p.gap)
+        def step(at: Column, p: Column) -> tuple[Column, Column]:
+            begin = at + F.length(p.gap)
             end = begin + F.length(p.hit)
-            return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(begin.alias("start"), end.alias("end"), p.hit.alias("text")))).alias("out"))
+            return end, F.array(F.struct(begin.alias("start"), end.alias("end"), p.hit.alias("text")))
 
-        return F.when(F.size(found) == 0, F.array().cast(MATCH)).otherwise(F.aggregate(pairs, start, step, lambda a: a.out))
+        return F.when(F.size(found) == 0, F.array().cast(MATCH)).otherwise(folded(pairs, F.lit(0), step, MATCH[6:-1]))
 
     free = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
     return F.when(text.isNotNull(), let(free, lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: place(t, found))))
