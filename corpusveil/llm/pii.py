@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import folded
 from .common import SPACE_CLASS, durable, let, text_of
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -48,14 +49,13 @@ def occurrences(text: Column, pattern: str) -> Column:
     """All matches as (start, end, value). Gaps and matches alternate, so their lengths add up
     to the offsets."""
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a.at + F.length(x.gap)
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x.gap)
         end = begin + F.length(x.value)
-        return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(begin.alias("start"), end.alias("end"), x.value.alias("value")))).alias("out"))
+        return end, F.array(F.struct(begin.alias("start"), end.alias("end"), x.value.alias("value")))
 
-    return F.aggregate(F.filter(found, lambda x: x.value.isNotNull()), start, step, lambda a: a.out)
+    return folded(F.filter(found, lambda x: x.value.isNotNull()), F.lit(0), step, "struct<start:int,end:int,value:string>")
 
 
 def _digits(value: Column) -> Column:
@@ -111,15 +111,15 @@ COVER = "\x00"
 
 def covered(text: Column, spans: Column) -> Column:
     """The text with every base span blotted out, at its own length."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    # What lies beyond the last span is a span of nothing at the end.
+    whole = F.length(text)
+    ordered = F.sort_array(F.concat(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))), F.array(F.struct(whole.alias("start"), whole.alias("end")))))
 
-    def step(a: Column, m: Column) -> Column:
-        begin = F.greatest(m.start, a.at)
-        more = F.array(F.substring(text, a.at + 1, begin - a.at), F.repeat(F.lit(COVER), m.end - begin))
-        return F.when(m.end > a.at, F.struct(m.end.alias("at"), F.concat(a.out, more).alias("out"))).otherwise(a)
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        begin = F.greatest(m.start, at)
+        return F.greatest(m.end, at), F.array(F.substring(text, at + 1, begin - at), F.repeat(F.lit(COVER), F.greatest(m.end - begin, F.lit(0))))
 
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))
-    return F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at + 1, F.length(text))))
+    return F.array_join(folded(ordered, F.lit(0), step, "string"), "")
 
 
 def row_of() -> Column:
@@ -143,20 +143,15 @@ def terms_of(text: Column) -> Column:
 
 def places(text: Column, risky: Column) -> Column:
     """(start, end, action) of the words whose term is in risky, an array of (term, action)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
-
     def of(names: Column, actions: Column) -> Column:
-        def step(a: Column, word: Column) -> Column:
-            end = a.at + F.length(word)
-
-            def put(which: Column) -> Column:
-                here = F.array(F.struct(a.at.alias("start"), end.alias("end"), F.get(actions, (which - 1).cast("int")).alias("action")))
-                return F.struct((end + 1).alias("at"), F.when(which > 0, F.concat(a.out, here)).otherwise(a.out).cast(TERMS).alias("out"))
-
+        def step(at: Column, word: Column) -> tuple[Column, Column]:
+            end = at + F.length(word)
             free = (F.length(word) > 0) & ~word.contains(COVER)
-            return let(F.when(free, F.array_position(names, F.xxhash64(term_of(word)))).otherwise(F.lit(0).cast("long")), put)
+            which = F.when(free, F.array_position(names, F.xxhash64(term_of(word)))).otherwise(F.lit(0).cast("long"))
+            here = let(which, lambda w: F.when(w > 0, F.array(F.struct(at.alias("start"), end.alias("end"), F.get(actions, (w - 1).cast("int")).alias("action")))).otherwise(F.array().cast(TERMS)))
+            return end + 1, here
 
-        return F.aggregate(F.split(text, SPACE_CLASS, -1), start, step, lambda a: a.out)
+        return folded(F.split(text, SPACE_CLASS, -1), F.lit(0), step, TERMS[6:-1])
 
     # Named first: a lambda would build both lists anew for each word.
     return let(F.transform(risky, lambda r: r.term), lambda names: let(F.transform(risky, lambda r: r.action), lambda actions: of(names, actions)))
@@ -227,21 +222,22 @@ def rewrite(text: Column, base: Column, terms: Column) -> Column:
         F.transform(base, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), F.concat(F.lit("["), F.upper(s.kind), F.lit("]")).alias("by"))),
         F.transform(terms, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), F.when(s.action == "remove", "").otherwise(_class(cut(s))).alias("by"))),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.length(text)
+    last = F.array(F.struct(whole.alias("start"), (-whole).alias("back"), F.lit("").alias("by")))
 
-    def step(a: Column, m: Column) -> Column:
-        taken = F.struct((-m.back).alias("at"), F.concat(a.out, F.array(F.substring(text, a.at + 1, m.start - a.at), m.by)).alias("out"))
-        return F.when(m.start >= a.at, taken).otherwise(a)
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        taken = m.start >= at
+        return F.when(taken, -m.back).otherwise(at), F.when(taken, F.array(F.substring(text, at + 1, m.start - at), m.by)).otherwise(F.array().cast("array<string>"))
 
-    whole = F.length(text)
-    return F.aggregate(F.sort_array(marks), start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at + 1, whole)))
+    return F.array_join(folded(F.sort_array(F.concat(marks, last)), F.lit(0), step, "string"), "")
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """The documents' own columns plus sanitised (text) and spans (as the digest spells them)."""
-    found = findings(docs, **options).filter("row IS NOT NULL").select("row", "base", "terms").dropDuplicates(["row"])
-    text = text_of()
+    found = findings(docs, **options).filter("row IS NOT NULL").select(F.col("row").alias("__row"), F.struct("base", "terms").alias("__found")).dropDuplicates(["__row"])
+    text, base, terms = text_of(), F.col("__found.base"), F.col("__found.terms")
     kept = [c for c in docs.columns if c not in ("sanitised", "spans")]
-    spell = F.array_join(F.concat(F.transform("base", lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s.start.cast("string"), s.end.cast("string")))), ",")
-    joined = docs.select(*kept, row_of().alias("_row")).join(found.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.select(*kept, F.when(F.col("base").isNull(), text).otherwise(rewrite(text, F.col("base"), F.col("terms"))).alias("sanitised"), F.coalesce(spell, F.lit("")).alias("spans"))
+    at = lambda kind, s: F.concat_ws(":", kind, s.start.cast("string"), s.end.cast("string"))
+    spell = F.array_join(F.concat(F.transform(base, lambda s: at(s.kind, s)), F.transform(terms, lambda s: at(F.lit("term"), s))), ",")
+    joined = docs.select(*kept, row_of().alias("__row")).join(found, "__row", "left")
+    return joined.select(*kept, F.when(F.col("__found").isNull(), text).otherwise(rewrite(text, base, terms)).alias("sanitised"), F.coalesce(spell, F.lit("")).alias("spans"))

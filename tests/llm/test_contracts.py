@@ -105,6 +105,41 @@ def test_pii_terms_anywhere(spark):
     assert got[501].spans == f"term:{start}:{start + 11}"
 
 
+def test_pii_shares(spark):
+    """Shares of PMI and information content against plain counting; columns that clash; one text
+    with very many spans."""
+    random.seed(9)
+    word = lambda: random.choice(["oak", "elm", "ash", "fir", "yew", "bay"]) + str(int(random.paretovariate(0.7)) % 300)
+    rows = []
+    for i in range(150):
+        words = [word() for _ in range(random.randint(3, 25))]
+        for k in range(random.choice([0, 0, 1, 2])):
+            words.insert(random.randrange(len(words)), random.choice([f"user{i % 7}@corp.example", "10.0.0.1", "me@x.example"]))
+        rows.append((i, " ".join(words)))
+    rows += [(5, rows[5][1]), (None, rows[6][1]), (700, None)]
+    docs = docs_of(spark, rows)
+    got = {(r.entity, r.term): r.share for r in pii.disclosures(pii.scan(docs), docs, 0.3).collect()}
+    names = lambda t: {t[a:b].lower() for _, a, b in base_spans(t)}
+    terms = lambda t: set((t or "").split(" ")) - names(t or "") - {""}
+    n, df, dt, both = len(rows), Counter(), Counter(), Counter()
+    for _, t in rows:
+        df.update(names(t or ""))
+    dt = Counter(x for _, t in rows for x in set((t or "").split(" ")))
+    for _, t in rows:
+        both.update((e, w) for e in names(t or "") for w in terms(t))
+    want = {k: math.log2(n * c / (df[k[0]] * dt[k[1]])) / math.log2(n / df[k[0]]) for k, c in both.items()}
+    kind = lambda e: "ip" if e[0].isdigit() else "email"
+    hashes = spark.createDataFrame([(e, kind(e), w) for e, w in want], "e string, kind string, w string").select("e", "w", F.xxhash64("kind", "e").alias("entity"), F.xxhash64("w").alias("term")).collect()
+    expected = {(r.entity, r.term): want[r.e, r.w] for r in hashes if want[r.e, r.w] >= 0.3}
+    assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 1e-9 for k in got) and len(got) > 100
+    clash = docs_of(spark, rows[:9]).withColumns({"base": F.lit(1), "terms": F.lit(2), "row": F.lit(3), "doc": F.lit(4), "spans": F.lit("old")})
+    made = pii.sanitise(clash)
+    assert made.columns == ["doc_id", "text", "source", "fingerprint", "size", "kept", "base", "terms", "row", "doc", "sanitised", "spans"] and made.count() == 9
+    many = " ".join(f"10.0.{i % 256}.{i // 256}" for i in range(5000))
+    out = pii.sanitise(docs_of(spark, [(1, many), (2, "plain")])).filter("doc_id = 1").first()
+    assert out.sanitised == " ".join(["[IP]"] * 5000) and out.spans.count("ip:") == 5000
+
+
 # 2 ---------------------------------------------------------------------------------------
 
 
