@@ -82,8 +82,10 @@ def entities_of(level: str) -> tuple[str, ...]:
 
 def near_context(text: Column, start: Column, words: tuple[str, ...], tokens: int) -> Column:
     """Whether one of the words is part of the last `tokens` tokens before the place."""
+    split = lambda low: F.regexp_extract_all(F.lower(F.substring(text, low + 1, start - low)), F.lit(r"(?U)\S+"), F.lit(0))
     low = F.greatest(start - 40 * tokens, F.lit(0))
-    before = F.regexp_extract_all(F.lower(F.substring(text, low + 1, start - low)), F.lit(r"(?U)\S+"), F.lit(0))
+    # A short piece before the place has enough tokens as a rule; else all that stands before it.
+    before = let(split(low), lambda b: F.when((F.size(b) > tokens) | (low == 0), b).otherwise(split(F.lit(0))))
     last = let(before, lambda b: F.array_join(F.slice(b, F.greatest(F.size(b) - tokens + 1, F.lit(1)), F.lit(tokens)), " "))
     return let(last, lambda s: any_of([s.contains(w) for w in words]))
 
