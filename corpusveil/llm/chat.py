@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import folded
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -56,15 +58,15 @@ def common_turns(a: Column, b: Column) -> Column:
 
 def mask(turns: Column) -> Column:
     """(start, end) ranges of the rendered turns that are trained on."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    kind = "struct<start:int,end:int>"
 
-    def step(s: Column, t: Column) -> Column:
-        begin = s.at + F.length(header(t))
+    def step(at: Column, t: Column) -> tuple[Column, Column]:
+        begin = at + F.length(header(t))
         end = begin + F.length(t.text) + len(CLOSE)
         own = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(t.role == "assistant", F.concat(s.out, own)).otherwise(s.out).alias("out"))
+        return end + 1, F.when(t.role == "assistant", own).otherwise(F.array().cast(f"array<{kind}>"))
 
-    return F.aggregate(turns, start, step, lambda s: s.out)
+    return folded(turns, F.lit(0), step, kind)
 
 
 def preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -88,7 +90,8 @@ def preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") ->
 def off_topic_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from a plain table: chosen is a conversation up to its last assistant turn;
     rejected is the same with that turn's text taken from the conversation with the next id
-    (its own first assistant text where that has none). Both by conv_id."""
+    (its own first assistant text where that has none). Both by conv_id; a conversation without
+    an assistant turn gives no pair."""
     turns = turns_of(conversations)
     last = F.aggregate("turns", F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")), lambda s, t: F.struct((s.i + 1).alias("i"), F.when(t.role == "assistant", s.i + 1).otherwise(s.at).alias("at")), lambda s: s.at)
     ended = turns.withColumn("_last", last).filter("_last > 0").withColumn("turns", F.slice("turns", F.lit(1), F.col("_last")))

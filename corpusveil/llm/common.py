@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 
-__all__ = ["SPACE_CLASS", "WORD", "documents", "durable", "let", "new_path", "shared_dir", "text_of", "without_space", "words_of"]
+__all__ = ["SPACE_CLASS", "WORD", "documents", "durable", "empty_shared", "let", "new_path", "shared_dir", "text_of", "without_space", "words_of"]
 
 #: ASCII white space as the word rule names it: space and TAB to CR.
 SPACE_CLASS = r"[ \t-\r]"
@@ -41,6 +41,13 @@ def new_path(spark: SparkSession, what: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def empty_shared(spark: SparkSession) -> None:
+    """Deletes all tables and files that the operators have left in the shared folder. Results that
+    were not written elsewhere cannot be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corpusveil")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that what follows neither
     recomputes it nor depends on one executor's disk. Its shuffle files go at once."""

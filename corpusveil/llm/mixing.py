@@ -53,8 +53,8 @@ def sizes(docs: DataFrame, digits: int, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def targets(buckets: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
-    """One row per source: _sn, _sv, source_size, _class, target. Its windows without a key
-    run over one row a source."""
+    """One row per source: _sn, _sv, source_size, _class, target. Its windows without a key run
+    over one row a source in one task, some 100 bytes each: good for millions of sources."""
     by_name = Window.orderBy("_sn", F.col("_sv"))
     sources = buckets.groupBy("_sn", "_sv").agg(F.sum("_words").alias("source_size")).withColumn("_class", (F.row_number().over(by_name) - 1) % len(weights))
     sources = sources.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), F.col("_class") + 1).cast("long")).withColumn("_cap", F.col("source_size") * max_repeats)
