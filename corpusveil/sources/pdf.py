@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 JOIN_GAP, WORD_GAP, DEEPEST = 0.15, 0.25, 50
 
@@ -277,11 +278,22 @@ class Font:
             row = []
         return out
 
-    def read(self, shown: bytes) -> list[tuple[str, float, bool]]:
-        """Text, width and whether it is the one-byte blank, of each character code."""
-        codes = [int.from_bytes(shown[i : i + 2], "big") for i in range(0, len(shown), 2)] if self.wide else shown
-        plain = lambda c: "\ufffd" if self.wide else self.names.get(c) or bytes([c]).decode(self.table, "replace")
-        return [(self.map.get(c) or plain(c), (self.widths.get(c) or (0 if c in self.widths else self.default)) / 1000, c == 32 and not self.wide) for c in codes]
+    @cached_property
+    def single(self) -> tuple[list[str], list[float]]:
+        """Text and width of each one-byte code."""
+        plain = lambda c: self.names.get(c) or bytes([c]).decode(self.table, "replace")
+        return [self.map.get(c) or plain(c) for c in range(256)], [self.width(c) for c in range(256)]
+
+    def width(self, code: int) -> float:
+        return (self.widths.get(code) or (0 if code in self.widths else self.default)) / 1000
+
+    def read(self, shown: bytes) -> tuple[str, float, int, int]:
+        """Text, width, number of codes and of one-byte blanks."""
+        if self.wide:
+            codes = [int.from_bytes(shown[i : i + 2], "big") for i in range(0, len(shown), 2)]
+            return "".join(self.map.get(c) or "\ufffd" for c in codes), sum(map(self.width, codes)), len(codes), 0
+        texts, widths = self.single
+        return "".join(map(texts.__getitem__, shown)), sum(map(widths.__getitem__, shown)), len(shown), shown.count(32)
 
 
 def times(a: tuple, b: tuple) -> tuple:
@@ -328,10 +340,9 @@ class Reader:
                 if isinstance(item, (int, float)):
                     tm = times((1, 0, 0, 1, -item / 1000 * state["size"] * state["Tz"], 0), tm)
                 elif isinstance(item, bytes) and state["font"]:
-                    begin, text = tm, ""
-                    for char, width, blank in state["font"].read(item):
-                        text += char
-                        tm = times((1, 0, 0, 1, (width * state["size"] + state["Tc"] + blank * state["Tw"]) * state["Tz"], 0), tm)
+                    begin = tm
+                    text, width, codes, blanks = state["font"].read(item)
+                    tm = times((1, 0, 0, 1, (width * state["size"] + codes * state["Tc"] + blanks * state["Tw"]) * state["Tz"], 0), tm)
                     self.add(text, times(begin, state["ctm"]), times(tm, state["ctm"]), state["size"], state["Ts"])
 
         for v, _ in values(data):
