@@ -36,7 +36,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, let, text_of
+from .common import durable, let, new_path, text_of
 
 OTHER = "other"
 #: Names of public licences by family, as notices and SPDX lines write them.
@@ -221,9 +221,16 @@ def paragraphs(text: Column) -> Column:
     return F.transform(blocks, lambda p: F.filter(pieces(p), lambda x: has_cue(x)))
 
 
-def inlined(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
-    """A local table made inside the JVM."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the driver's, by a file in the shared folder: in a plan it would be kept with
+    every plan that is made from it."""
+    at = new_path(spark, "licence-rows")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    for i in range(0, len(rows), 1000):
+        out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows[i : i + 1000]).encode()))
+    out.close()
+    return spark.read.schema(schema).json(at)
 
 
 def variants(lines: list[str]) -> list[dict]:
@@ -232,13 +239,10 @@ def variants(lines: list[str]) -> list[dict]:
     rows, k = [], 0
     for label, said in [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(OTHER, t) for t in DECOYS]:
         words = said.split(" ")
-        drops = range(0, len(words), max(1, len(words) // 8)) if len(words) > 4 else ()
+        drops = range(0, len(words), max(1, len(words) // 6)) if len(words) > 4 else ()
         for text in (said, *(" ".join(words[:i] + words[i + 1 :]) for i in drops)):
-            for filler in FILLERS:
-                rows.append({"label": label, "text": f"{filler} {text}".strip(), "held": k % 4 == 3})
-                if lines:
-                    line = lines[k % len(lines)].split(" ")[: SPAN // 2]
-                    rows.append({"label": label, "text": " ".join([*line, text]), "held": k % 4 == 3})
+            for before in (FILLERS[k % len(FILLERS)], FILLERS[(k + 1) % len(FILLERS)], *([" ".join(lines[k % len(lines)].split(" ")[: SPAN // 2])] if lines else [])):
+                rows.append({"label": label, "text": f"{before} {text}".strip(), "held": k % 4 == 3})
                 k += 1
     return rows + [{"label": OTHER, "text": x, "held": i % 4 == 3} for i, x in enumerate(lines)]
 
@@ -250,7 +254,7 @@ def train(docs: DataFrame, background: int = 1000, vocabulary: int = 1 << 14) ->
     lines = docs.select(F.explode(F.split(text_of(), "\n")).alias("line")).filter(F.length("line").between(20, 400) & ~has_cue(F.col("line")))
     plain = [" ".join(re.findall(_WORD, r.line.lower())) for r in lines.select(F.substring("line", 1, 400).alias("line")).orderBy(F.xxhash64("line"), "line").limit(background).collect()]
     number = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(float(i)))]), F.col("label"))
-    rows = durable(inlined(spark, variants(plain), "label:string,text:string,held:boolean").select("label", number.alias("y"), grams(F.col("text")).alias("grams"), "held"), "licence-training")
+    rows = durable(local_table(spark, variants(plain), "label string, text string, held boolean").select("label", number.alias("y"), grams(F.col("text")).alias("grams"), "held"), "licence-training")
     fitted = lambda some: (
         counts := CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=vocabulary, minDF=2.0).fit(some),
         LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-3, maxIter=40).fit(counts.transform(some)),
@@ -278,7 +282,7 @@ def train(docs: DataFrame, background: int = 1000, vocabulary: int = 1 << 14) ->
     gains = asked.agg(*[gain(s).alias(str(i)) for i, s in enumerate(grid)]).first()
     sure = max(zip(gains, grid, strict=True), key=lambda x: (x[0] if x[0] is not None else -math.inf, -x[1]))[1]
     counts, lr = fitted(rows)
-    by_gram = lr.coefficientMatrix.toArray().T.tolist()
+    by_gram = lr.coefficientMatrix.toArray().T.round(9).tolist()
     return {"names": names, "weights": dict(zip(counts.vocabulary, by_gram, strict=True)), "intercepts": lr.interceptVector.toArray().tolist(), "temperature": temperature, "sure": sure}
 
 
@@ -312,7 +316,7 @@ def scan(docs: DataFrame, sure: float | None = None, confirm: float = 0.6, text_
     model = train(typed, **training)
     least = model["sure"] if sure is None else sure
     spark, text = docs.sparkSession, text_of()
-    table = durable(inlined(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram:string,w:array<double>"), "licence-weights")
+    table = durable(local_table(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram string, w array<double>"), "licence-weights")
     some = F.when(has_cue(text), paragraphs(text)).otherwise(F.array().cast("array<array<string>>"))
     rows = durable(typed.select(F.monotonically_increasing_id().alias("_row"), "doc_id", some.alias("paragraphs")), "licence-paragraphs")
     each = rows.select("_row", F.posexplode("paragraphs").alias("k", "pieces")).select("_row", "k", F.explode("pieces").alias("piece"))

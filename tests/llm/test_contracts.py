@@ -359,7 +359,7 @@ def test_licence_scores(spark):
     docs = docs_of(spark, [(i, f"plain words number {i} are here for the background") for i in range(30)])
     model = licences.train(docs)
     texts = ["licensed under the mit license", "the driver license of the year", "nothing known qqq", ""]
-    table = licences.inlined(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram:string,w:array<double>")
+    table = licences.local_table(spark, [{"gram": g, "w": w} for g, w in model["weights"].items()], "gram string, w array<double>")
     got = {r.piece: (r.family, r.probability) for r in licences.scored(spark.createDataFrame([(t,) for t in texts], "piece string"), model, table).collect()}
     for t in texts:
         words = re.findall(licences._WORD, t)
