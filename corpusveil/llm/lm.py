@@ -42,24 +42,26 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .common import SPACE_CLASS, durable, new_path, text_of
+from .hashes import hashed_words
 
-END, START = xxhash.xxh64_intdigest(b"\n", 0), xxhash.xxh64_intdigest(b" ", 0)
+#: Stand for the end and the start; any two numbers, as far as words are hashed.
+END, START = 0x5851F42D4C957F2D, 0xDA3E39CB94B95BDB
 FLUSH = 3_000_000
 LOOKUP = 1_000_000
 #: Contexts with more followers keep their sums in the file.
 FEW = 6
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hashes of the words and the end. Bytes know ASCII letters and white space only."""
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, 0) for w in text.lower().split()] + [END], np.uint64)
+def tokens(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of the words and the end, of each text of a binary column."""
+    for words, cuts in hashed_words(texts):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield np.append(words[a:b], np.uint64(END))
 
 
 def before(words: np.ndarray) -> np.ndarray:
@@ -241,8 +243,8 @@ def count_ngrams(order: int, bits: int, hot: np.ndarray, slices: int, part: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for t in batch.column(0):
-                held.append(tokens(t.as_py()))
+            for words in tokens(batch.column(0)):
+                held.append(words)
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield pa.RecordBatch.from_pylist(block(held), BLOCKS)
@@ -395,7 +397,8 @@ def frequent(docs: DataFrame, rows: int, least: float, hot: int, sample: int, te
     words = some.select(F.explode(F.split(F.lower(text), SPACE_CLASS + "+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 0
     top = words.filter(F.col("n") > least * total).orderBy(F.desc("n"), "w").limit(hot).collect()
-    return np.array(sorted({START, *(xxhash.xxh64_intdigest(r.w.encode(), 0) for r in top)}), np.uint64)
+    known = [words for words, _ in hashed_words(pa.array([r.w.encode() for r in top], pa.binary()))]
+    return np.unique(np.concatenate([np.array([START], np.uint64), *known]))
 
 
 def train(docs: DataFrame, order: int = 3, bytes_per_shard: int = 1 << 25, slices: int = 4, text_col: str = "text", hot: int = 10_000, hot_sample: int = 1000) -> Model:
@@ -565,8 +568,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, count, parts = [], 0, []
-            for t in b.column(1):
-                held.append(tokens(t.as_py()))
+            for words in tokens(b.column(1)):
+                held.append(words)
                 count += len(held[-1])
                 if count >= LOOKUP:
                     parts.append(several(held))
