@@ -676,7 +676,8 @@ def _pages_with_ink(spark, sf_dir) -> DataFrame:
         image[100 : 103 + k % 3, 150 : 190 + k % 40, :3] = 20
         return (png.encode(image) if k % 9 else b"no image",)
 
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    # Keys are few bytes and lie in few files, their images are work for all cores.
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).repartition(spark.sparkContext.defaultParallelism)
     return parsers._with(parts, pa.schema([("content", pa.binary())]), page, ("k",))
 
 

@@ -117,3 +117,25 @@ def test_ink_and_signature(spark):
     made = {r.doc_id: r for r in strict.sanitize_images(images).collect()}
     out = png.decode(bytes(made[1].sanitized))
     assert (out[155:170, 105:200] == 0).all() and (out[:100] == 240).all() and bytes(made[2].sanitized) == b"broken"
+
+
+def test_ink_in_bands():
+    """Bands of rows give the ink of the whole image, whatever its contrast."""
+    rng, at = np.random.default_rng(5), np.arange(-7, 8)
+    weights = np.exp(-(at**2) / (2 * (0.3 * (14 * 0.5 - 1) + 0.8) ** 2))
+    for low, h, w in ((0, 40, 33), (215, 50, 20), (228, 60, 60), (230, 3, 70)):
+        grey = rng.integers(low, 231, (h, w)).astype(np.uint8)
+        grey[h // 2 : h // 2 + 2, w // 3 : w // 2] = 100
+        wide = np.pad(grey.astype(float), 7, mode="edge")
+        across = sum(x / weights.sum() * wide[:, k : k + w] for k, x in enumerate(weights))
+        mean = np.rint(sum(x / weights.sum() * across[k : k + h] for k, x in enumerate(weights)))
+        assert (pixels.ink(grey) == (grey <= mean - 10)).all()
+
+
+def test_images_are_dealt_out(spark):
+    """The keys lie in one file; the images made of them are not one task's work."""
+    from corpusveil.catalogue import QUERIES
+    from tests.oracle import DATA
+
+    for name in ("q_ink_components", "q_image_redact"):
+        assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
