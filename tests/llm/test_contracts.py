@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -485,6 +486,43 @@ def test_near_spans():
     assert passages.near_spans(same, same, 0, 20, 0.8).tolist() == list(range(21)) and not len(passages.near_spans(same[:10], same, 0, 20, 0.8))
 
 
+def test_verified_many_lines_at_once(monkeypatch):
+    """As line by line; and the sums over windows are not taken for each line."""
+    rng, least = np.random.default_rng(8), 20
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
+    rows = []
+    for seq in range(40):
+        passage = words(40)
+        edited = [w for k, w in enumerate(passage) if k not in (rng.integers(0, 40) if seq % 3 else 99, 7 if seq % 5 == 0 else 99)]
+        mine, theirs = words(rng.integers(0, 60)) + passage + words(rng.integers(0, 9)), words(rng.integers(0, 60)) + edited + passage[: rng.integers(0, 40)]
+        rows.append({"seq": seq, "other": 100 + seq, "lines": list(range(-len(theirs), len(mine))), "text": " ".join(mine).encode(), "other_text": " ".join(theirs).encode()})
+    rows.append(rows[0] | {"seq": 98, "lines": [0], "text": b"", "other_text": b"a b"})
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("seq", pa.int64()), ("other", pa.int64()), ("lines", pa.list_(pa.int32())), ("text", pa.binary()), ("other_text", pa.binary())]))
+    want = {}
+    enough = passages.needed(least, 0.8)
+    for row, a, b in zip(rows, passages.shingled(batch.column(3)), passages.shingled(batch.column(4)), strict=True):
+        here, seen, seen_there, again = set(), np.zeros(len(a), bool), np.zeros(len(b), bool), []
+        for d in row["lines"]:
+            lo, hits = passages.line_hits(a, b, d, least)
+            for s, e in passages.united(np.nonzero(hits >= enough)[0] + lo, least):
+                here.add((s, e, d))
+                seen[s:e] = seen_there[s - d : e - d] = True
+            again.append((d, lo, hits))
+        known = np.isin(a, b)
+        for d, lo, hits in again:
+            apart = np.array([not seen[s : s + least].any() and not seen_there[s - d : s - d + least].any() and known[s : s + least].sum() >= enough for s in range(lo, lo + len(hits))], bool)
+            apart &= (2 * hits >= enough) & (hits < enough)
+            here |= {(s, e, d) for s, e in passages.united(passages.lifted(a, b, d, lo, np.where(apart, hits, 0), apart, least, 0.8), least)}
+        if here:
+            want[row["seq"]] = sorted({(s, e + 4) for s, e, _ in here}), sorted({(s - d, e - d + 4) for s, e, d in here})
+    sums, calls = passages.window_sums, []
+    monkeypatch.setattr(passages, "window_sums", lambda *x: calls.append(1) or sums(*x))
+    got = [r for b in passages.verify(least, 0.8)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    plain = lambda spans: [(s["start"], s["end"]) for s in spans]
+    assert {r["seq"]: (plain(r["spans"]), plain(r["other_spans"])) for r in got} == want and len(want) > 30
+    assert len(calls) <= 3 + 2 * len(rows) < sum(len(r["lines"]) for r in rows) // 10
+
+
 @pytest.mark.parametrize("partial", [0, 20])
 def test_passages_with_partial_holders_and_edits(spark, partial):
     """Two documents hold all of a passage, or all but for one changed, one added or one missing
